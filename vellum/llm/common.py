@@ -6,6 +6,7 @@ bytes that is exactly ``bytes.split()``, which the Python workers use.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -84,3 +85,9 @@ def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of a string column."""
     for x in column.cast(pa.large_binary()):
         yield x.as_py()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
