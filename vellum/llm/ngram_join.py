@@ -35,22 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
+from .bloom import mixed
 from .common import arrow_rows, col, raw_texts, release, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
 MOST_HEAVY, LEAST_HEAVY = 1 << 20, 8
-FRAGMENTS, BLOOM_BITS = 4, 27
+FRAGMENTS = 4
 BLOCK = 1 << 21
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return h ^ (h >> np.uint64(32))
-
-
 def shingles(raw: bytes | None) -> np.ndarray:
     """Sorted hashes (int64) of the set of a text."""
     words = (raw or b"").lower().split()
@@ -249,33 +245,11 @@ def pairs_of(a: str, b: str, na: str, nb: str) -> list:
     return [F.when(flip, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(flip, F.col(a)).otherwise(F.col(b)).alias("b"), F.when(flip, F.col(nb)).otherwise(F.col(na)).alias("na"), F.when(flip, F.col(na)).otherwise(F.col(nb)).alias("nb")]
 
 
-def bloom(classes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter of 2^bits bits over (class), built in a few parts."""
-    size = 1 << (bits - 3)
-
-    def run(batches):
-        own = np.zeros(1 << bits, bool)
-        for batch in batches:
-            for place in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                own[place] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    out = np.zeros(size, np.uint8)
-    for r in classes.coalesce(6).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _places(c: np.ndarray, bits: int):
-    h = mixed(np.atleast_1d(c).view(np.uint64))
-    return [(h >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for shift in (0, 18, 36)]
-
-
 def verified(df: DataFrame, text: str, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of ``pairs`` (a, b, na, nb), those whose overlap, summed over fragments, makes a link."""
     spark = df.sparkSession
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    shared = spark.sparkContext.broadcast(bloom(wanted))
+    shared = spark.sparkContext.broadcast(bloom.build(wanted))
 
     def cut(batches):
         bits, seen = shared.value, set()
@@ -284,7 +258,7 @@ def verified(df: DataFrame, text: str, pairs: DataFrame, percent: int = PERCENT)
             for raw in raw_texts(batch.column(0)):
                 s = shingles(raw)
                 c = class_of(s)
-                if not len(s) or c in seen or not all(bits[p >> np.uint64(3)][0] >> (7 - int(p[0] & np.uint64(7))) & 1 for p in _places(np.array([c]), BLOOM_BITS)):
+                if not len(s) or c in seen or not bloom.passes(bits, np.array([c])).all():
                     continue
                 if len(seen) > 500_000:
                     seen.clear()

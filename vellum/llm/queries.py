@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, token_output
+from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, repeated_phrases, token_output
 from .common import table, written
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -39,6 +39,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.digests(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.join_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_chat_format, op5_ngram_join, op7_exact_dedup, op8_token_output, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_chat_format, op4_repeated_phrases, op5_ngram_join, op7_exact_dedup, op8_token_output, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
