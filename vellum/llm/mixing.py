@@ -20,15 +20,18 @@ the smaller number or the source first in order; other columns of the input are
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Sequence
 from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, written
+from .common import WORD, arrow_rows, col, pieces, raw_texts, written
 
 SHARD_WORDS, BLOCK_WORDS, MAX_SOURCES = 1 << 20, 128, 200_000
+SPANS = re.compile(WORD.encode())
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, repeat: float) -> list[float]:
@@ -164,3 +167,34 @@ def shard_quotas(cut: DataFrame) -> DataFrame:
     change = change.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "change")
     joined = cut.join(change, [F.col("source").eqNullSafe(F.col("_source")), F.col("shard") == F.col("_shard")], "left")
     return joined.select("source", "shard", "words", "blocks", (F.col("base") + F.coalesce("change", F.lit(0))).alias("quota"))
+
+
+def materialise(df: DataFrame, plan: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mix itself: key, the ``keep`` columns and text, a row for each time that words of
+    a row of ``df`` are taken; white space between words that stay together is kept. Rows
+    equal in key and text share one plan, that of the first in order of pieces."""
+    n = len(keep)
+    once = plan.where("taken > 0").groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.min("pieces").alias("pieces"))
+    given = df.select(col(key).alias("_key"), *[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
+    both = given.join(written(once, "mix-plan"), F.col("_key").eqNullSafe(F.col("k")) & (F.xxhash64("_text") == F.col("h"))).select("_key", *[f"_keep{i}" for i in range(n)], "_text", "pieces")
+
+    def rows(batch: pa.RecordBatch):
+        for part in pieces(batch, n + 1):
+            at, out = [], []
+            for i, (raw, taken) in enumerate(zip(raw_texts(part.column(n + 1)), part.column(n + 2).to_pylist(), strict=True)):
+                spots = [m.span() for m in SPANS.finditer(raw)]
+                for time in range(1, max(p["times"] for p in taken) + 1):
+                    parts, end = [], None
+                    for p in taken:
+                        if p["times"] >= time:
+                            lo, hi = spots[p["lo"]][0], spots[p["hi"] - 1][1]
+                            parts.append(raw[end:lo] if end is not None and p["lo"] == last else b"\n" if parts else b"")
+                            parts.append(raw[lo:hi])
+                            end, last = hi, p["hi"]
+                    at.append(i)
+                    out.append(b"".join(parts).decode())
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in part.columns[: n + 1]], pa.array(out, pa.string())], names=["key", *keep, "text"])
+
+    kinds = [both.schema[c].dataType.simpleString() for c in ("_key", *[f"_keep{i}" for i in range(n)])]
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(("key", *keep), kinds, strict=True))
+    return arrow_rows(both, rows, f"{schema}, text string")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, repeated_phrases, token_output
+from . import chat_format, exact_dedup, language_id, line_templates, mixing, ngram_join, piece_lattice, quality_rules, repeated_phrases, token_output
 from .common import table, written
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+PIECES = "piece_bpe_32k.model"
 
 
 def public_tokenizer(name: str) -> str:
@@ -22,6 +23,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "<|im_end|><|im_start|>assistant ok"
@@ -48,6 +54,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.digests(table(spark, sf_dir, "documents"), piece_lattice.load(public_tokenizer(PIECES)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("sha").alias("text_sha256"))
@@ -68,7 +78,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=("doc_id", "held_out"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_chat_format, op4_repeated_phrases, op5_ngram_join, op7_exact_dedup, op8_token_output, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_line_templates, op3_chat_format, op4_repeated_phrases, op5_ngram_join, op6_sentencepiece, op7_exact_dedup, op8_token_output, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
     "op3_chat_format": r"""
