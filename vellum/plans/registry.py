@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from . import q_lines
+
+MODULES: tuple = (q_lines,)
 
 
 def queries() -> dict:
