@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_lines
+from . import q_audits, q_lines, q_tables
 
-MODULES: tuple = (q_lines,)
+MODULES: tuple = (q_lines, q_audits, q_tables)
 
 
 def queries() -> dict:
