@@ -110,7 +110,7 @@ def definition_blocks(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", F.when(key != "", key)).withColumn("goes_on", F.col("line").rlike(r"^(?:\s{2,}|\t)\S") | (F.trim("line") == ""))
     rows = rows.withColumn("run", F.sum(F.when(F.col("key").isNotNull() | ~F.col("goes_on"), 1).otherwise(0)).over(w))
     made = rows.groupBy("file", "run").agg(F.max("key").alias("key"), F.min("line_no").alias("first_line"), F.count_if(F.trim("line") != "").alias("n_lines"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    content = F.trim(F.regexp_replace(F.array_join(F.transform("ls", lambda x: F.trim(x["line"])), "\n"), rf"\A\[\^{KEY}\]:\s*", ""))
+    content = F.regexp_replace(F.array_join(F.transform("ls", lambda x: F.trim(x["line"])), "\n"), rf"\A\[\^{KEY}\]:\s*|\s+\z", "")
     return made.where("key is not null").select("file", "key", "first_line", "n_lines", content.alias("content"))
 
 

@@ -105,7 +105,7 @@ def pagination(labels: DataFrame) -> DataFrame:
 
 def printed_labels(pages: DataFrame) -> DataFrame:
     """Printed numbers on first and last lines: (book, page, line_no, label, printed, kind)."""
-    ls = F.filter(F.transform(T.lines(F.col("text")), F.trim), lambda x: x != "")
+    ls = F.filter(F.transform(T.lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != "")
     rows = pages.select("book", "page", F.posexplode(ls).alias("i", "line"), F.size(ls).alias("n")).where("i < 2 or i >= n - 2")
     label = F.regexp_extract("line", r"(?i)^[-–— ]*([0-9]{1,4}|[ivxlcdm]{1,12})[-–— ]*$", 1)
     arabic = label.rlike("^[0-9]+$")

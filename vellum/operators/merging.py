@@ -98,7 +98,7 @@ def carryover_moved(units: DataFrame) -> DataFrame:
     lead = F.regexp_extract("text", r"(?s)\A(.*?)(?=^#{1,6}\s|\z)".replace("(?s)", "(?sm)"), 1)
     w = Window.partitionBy("book").orderBy("unit")
     rows = units.withColumn("carry", F.when((F.row_number().over(w) > 1) & F.col("text").rlike(r"(?m)^#{1,6}\s"), lead).otherwise(F.lit("")))
-    rows = rows.withColumn("own", F.expr("substring(text, char_length(carry) + 1)")).withColumn("gets", F.coalesce(F.trim(F.lead("carry").over(w)), F.lit("")))
+    rows = rows.withColumn("own", F.expr("substring(text, char_length(carry) + 1)")).withColumn("gets", F.coalesce(F.regexp_replace(F.lead("carry").over(w), r"^\s+|\s+$", ""), F.lit("")))
     at = F.when(F.col("gets") == "", F.col("own")).when(F.col("own").rlike(r"(?m)^\[\^[^\]\n]+\]:"), F.regexp_replace("own", r"(?sm)\A(.*?)(^\[\^[^\]\n]+\]:.*)\z", "$1\u0000$2"))
     text = F.when(F.col("gets") == "", F.col("own")).when(at.isNotNull(), F.replace(at, F.lit("\u0000"), F.concat("gets", F.lit("\n\n")))).otherwise(F.concat("own", F.lit("\n\n"), "gets"))
     return rows.select("book", "unit", text.alias("text"))
