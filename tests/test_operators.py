@@ -238,3 +238,21 @@ def test_folders(spark, tmp_path):
     assert sorted(r["name"] for r in S.reachable(S.includes(spark, str(tmp_path)), "main").collect()) == ["main", "one", "three", "two"]
     b = S.sidecar_blocks(S.sidecars(spark, str(tmp_path))).first()
     assert (b["page"], b["x1"], b["y1"]) == (7, 0.5, 1.0)
+
+
+def test_consensus(spark):
+    from vellum.operators import consensus
+
+    rows = [("b", 1, "# The same *text*", "The same text"), ("b", 2, "page 12", "page 13"), ("b", 3, "", "x"), ("b", 4, "a b c d e f g h", "a b c d X Y Z h"), ("b", 5, "ﬁne", "fine"), ("b", 6, "a\nb", "a b")]
+    got = {r["page"]: (r["status"], r["reasons"]) for r in consensus.compare(spark.createDataFrame(rows, "book string, page long, primary string, secondary string")).collect()}
+    assert got == {1: ("agree", []), 2: ("review_required", ["numbers"]), 3: ("review_required", ["empty"]), 4: ("review_required", ["text"]), 5: ("agree", []), 6: ("review_required", ["lines"])}
+    heads = spark.createDataFrame([("u", 1, 1, "The Sea"), ("u", 3, 2, "The  Sea"), ("u", 9, 2, "Other"), ("u", 10, 2, "Other")], "unit string, line_no int, level int, title string")
+    assert sorted(r["line_no"] for r in consensus.duplicate_titles(heads).collect()) == [3, 10]
+
+
+def test_tokens_lost(spark):
+    from vellum.functions.udfs import casefolded, tokens_lost
+
+    r = spark.createDataFrame([("a b c d", "a c"), ("x", "x"), (None, "y")], "s string, t string").select(tokens_lost("s", "t").alias("n")).collect()
+    assert [x["n"] for x in r] == [2, 0, 0]
+    assert spark.createDataFrame([("Straße",)], "s string").select(casefolded("s")).first()[0] == "strasse"
