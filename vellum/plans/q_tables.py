@@ -478,6 +478,12 @@ FROM orp o LEFT JOIN d ON d.book = o.book AND d.scope = o.scope AND d.key = o.ke
     "note_graph": f"""
 WITH {_MARKED}, x AS (SELECT scope AS book, unnest(refs) AS key, 1 AS r, 0 AS d FROM m UNION ALL SELECT scope, def, 0, 1 FROM m), g AS (SELECT book, key, sum(r) AS r, sum(d) AS d FROM x GROUP BY ALL)
 SELECT book, key, 'no definition' AS problem FROM g WHERE d = 0 UNION ALL SELECT book, key, 'no reference' FROM g WHERE r = 0 UNION ALL SELECT book, key, 'defined twice' FROM g WHERE d > 1""",
+    "note_definitions": """
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file, CAST(doc_id % 3 AS VARCHAR) AS key, CAST(length(text) - length(replace(text, chr(10), '')) + 3 AS BIGINT) AS first_line, CAST(1 AS BIGINT) AS n_lines, 'note ' || doc_id AS content FROM documents""",
+    "broken_internal_links": r"""
+WITH l AS (SELECT page_id AS page, '/p' || page_id AS path, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
+k AS (SELECT '/p' || page_id AS t FROM pages UNION SELECT '/p' || page_id || '#' || unnest(regexp_extract_all(html, '(?i)\s(?:id|name)\s*=\s*["'']([^"'']+)["'']', 1)) FROM pages)
+SELECT page, href FROM l WHERE NOT regexp_matches(href, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)') AND CASE WHEN href LIKE '#%' THEN path || href ELSE href END NOT IN (SELECT t FROM k)""",
     "note_numbering": """
 WITH w AS (SELECT source AS scope, doc_id AS place, doc_id % 83 AS n, doc_id % 2 AS s, lag(doc_id % 83) OVER o AS p, lag(doc_id % 2) OVER o AS ps FROM documents WINDOW o AS (PARTITION BY source ORDER BY doc_id))
 SELECT scope, place, CASE WHEN n - p > 1 THEN 'gap' ELSE 'fall' END AS finding, CAST(CASE WHEN n - p > 1 THEN n - p - 1 ELSE 0 END AS BIGINT) AS n_missing FROM w WHERE n - p > 1 OR (n < p AND s = ps)""",
