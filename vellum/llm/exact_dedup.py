@@ -11,8 +11,8 @@ never compared, and a group's members never meet in one task.
 
 Cases: null counts as empty, all empty texts form one group; of ties for the longest
 original text the smallest key stays, a null key after all others; repeated rows are a
-group, of rows equal in key and length one stays at random but reproducibly only by
-key, so ``kept`` is true for each of them; other columns of the input are not read.
+group, and rows equal in key and length can't be told apart, so ``kept`` is true for each
+of them if it is for one; other columns of the input are not read.
 """
 
 from __future__ import annotations
