@@ -10,6 +10,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,44 @@ def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
         yield x.as_py()
 
 
+ROOT = 0x9E3779B97F4A7C15
+_LETTERS = np.random.default_rng(20240229).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ROOT^0.. and ROOT^-0.. modulo 2^64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for r in (ROOT, pow(ROOT, -1, 1 << 64)):
+            x = np.full(size, r, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, all at once: differences of a running sum of letters times powers, with
+    the word's length, mixed."""
+    data = np.frombuffer(raw, np.uint8)
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers(n + 1)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_LETTERS[data] * up[:n], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(32))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are no longer held."""
     gc.collect()

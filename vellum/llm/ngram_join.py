@@ -12,7 +12,8 @@ class (a 64-bit sum over the set), and only classes are joined.
    shingles: linked classes share one. Postings are sorted by shingle, and each member is
    paired with the first and the one before it, if lengths and places allow a link.
 3. Pairs are verified: the sets of paired classes are cut into ``FRAGMENTS`` ranges of
-   the hash, overlaps are counted apart in each fragment and summed per pair.
+   the hash, overlaps are counted apart in each fragment and summed per pair. A pair that
+   the first fragment rules out, as the others cannot make up for it, goes no further.
 4. Links make components. Members of a posting that are still in different components
    are paired in full, verified alike, and join the components. Members of one component
    need no more pairs, so a group of n near copies costs about n pairs, not n * n.
@@ -31,17 +32,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .bloom import mixed
-from .common import arrow_rows, col, raw_texts, release, written
+from .common import arrow_rows, col, raw_texts, release, word_hashes, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
-MOST_HEAVY, LEAST_HEAVY = 1 << 20, 8
+MOST_HEAVY, LEAST_HEAVY = 1 << 21, 2
 FRAGMENTS = 4
 BLOCK = 1 << 21
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -49,11 +49,10 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 def shingles(raw: bytes | None) -> np.ndarray:
     """Sorted hashes (int64) of the set of a text."""
-    words = (raw or b"").lower().split()
-    n = len(words)
+    h = word_hashes((raw or b"").lower())
+    n = len(h)
     if not n:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     k = min(n, SHINGLE)
     total = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
@@ -154,9 +153,8 @@ def global_order(counts: DataFrame, most: int = MOST_HEAVY) -> Order:
 POSTING = "token long, class long, n int, pos int"
 
 
-def postings(df: DataFrame, text: str, order: Order) -> DataFrame:
-    """The prefix of each set, a row for each shingle; equal sets in a task once."""
-    shared = df.sparkSession.sparkContext.broadcast(order)
+def postings(df: DataFrame, text: str, shared) -> DataFrame:
+    """The prefix of each set in a broadcast Order, a row for each shingle; equal sets in a task once."""
 
     def run(batches):
         seen: set[int] = set()
@@ -245,14 +243,19 @@ def pairs_of(a: str, b: str, na: str, nb: str) -> list:
     return [F.when(flip, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(flip, F.col(a)).otherwise(F.col(b)).alias("b"), F.when(flip, F.col(nb)).otherwise(F.col(na)).alias("na"), F.when(flip, F.col(na)).otherwise(F.col(nb)).alias("nb")]
 
 
-def verified(df: DataFrame, text: str, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of ``pairs`` (a, b, na, nb), those whose overlap, summed over fragments, makes a link."""
-    spark = df.sparkSession
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    shared = spark.sparkContext.broadcast(bloom.build(wanted))
+def segments(df: DataFrame, text: str, classes: DataFrame, first: int, last: int) -> DataFrame:
+    """(c, fragment, segment) of fragments ``first`` to ``last`` of the sets of ``classes`` (c), and of few others. Equal sets
+    in different tasks come more than once."""
+    shared = df.sparkSession.sparkContext.broadcast(bloom.build(classes))
+    edges = np.linspace(-(2**63), 2**63 - 1024, FRAGMENTS + 1)[1:-1].astype(np.int64)
 
     def cut(batches):
         bits, seen = shared.value, set()
+
+        def rows(out):
+            c, i, x = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(x, pa.binary())], names=["c", "fragment", "segment"])
+
         for batch in batches:
             out, total = [], 0
             for raw in raw_texts(batch.column(0)):
@@ -263,30 +266,47 @@ def verified(df: DataFrame, text: str, pairs: DataFrame, percent: int = PERCENT)
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
-                edges = np.searchsorted(s, np.linspace(-(2**63), 2**63 - 1024, FRAGMENTS + 1)[1:-1].astype(np.int64))
-                out += [(c, i, x.tobytes()) for i, x in enumerate(np.split(s, edges)) if len(x)]
-                total += len(s)
+                own = np.split(s, np.searchsorted(s, edges))[first : last + 1]
+                out += [(c, first + i, x.tobytes()) for i, x in enumerate(own) if len(x)]
+                total += sum(map(len, own))
                 if total > 500_000:
-                    yield segments(out)
+                    yield rows(out)
                     out, total = [], 0
             if out:
-                yield segments(out)
+                yield rows(out)
+
+    made = written(df.select(col(text).alias("t")).mapInArrow(cut, "c long, fragment int, segment binary"), "ngram-segments", "none")
+    shared.destroy()
+    return made
 
-    def segments(out):
-        c, i, x = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(x, pa.binary())], names=["c", "fragment", "segment"])
 
-    sets = df.select(col(text).alias("t")).mapInArrow(cut, "c long, fragment int, segment binary")
-    sets = written(sets.dropDuplicates(["c", "fragment"]), "ngram-segments", "none")
+def overlaps(df: DataFrame, text: str, pairs: DataFrame, first: int, last: int) -> DataFrame:
+    """(a, b, overlap, sa, sb): partial overlaps and sizes of segments, counted apart in each fragment and summed."""
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = segments(df, text, wanted, first, last)
     left = pairs.select("a", "b").join(sets.select(F.col("c").alias("a"), "fragment", F.col("segment").alias("x")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
 
     def overlap(batch: pa.RecordBatch):
-        n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "overlap"])
+        n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True)) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
+        sizes = [pa.compute.divide(pa.compute.binary_length(batch.column(i)), 8).cast(pa.int64()) for i in (3, 4)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), *sizes], names=["a", "b", "fragment", "overlap", "sa", "sb"])
+
+    counted = arrow_rows(both.select("a", "b", "fragment", "x", "y"), overlap, "a long, b long, fragment int, overlap long, sa long, sb long")
+    once = counted.groupBy("a", "b", "fragment").agg(*[F.max(c).alias(c) for c in ("overlap", "sa", "sb")])
+    return once.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "sa", "sb")])
 
-    counted = arrow_rows(both.select("a", "b", "x", "y"), overlap, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return pairs.join(counted, ["a", "b"]).where(F.expr(f"100 * overlap >= {percent} * (na + nb - overlap)")).select("a", "b")
+
+def verified(df: DataFrame, text: str, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of ``pairs`` (a, b, na, nb), those whose overlap makes a link. The first fragment is counted for all pairs;
+    where it shows that the others cannot make up for what is missing, they aren't counted."""
+    names = ["overlap", "sa", "sb"]
+    part = pairs.join(overlaps(df, text, pairs, 0, 0), ["a", "b"], "left").fillna(0, names)
+    most = "overlap + least(na - sa, nb - sb)"
+    part = written(part.where(F.expr(f"{100 + percent} * ({most}) >= {percent} * (na + nb)")), "ngram-left")
+    rest = overlaps(df, text, part, 1, FRAGMENTS - 1).select("a", "b", F.col("overlap").alias("more"))
+    both = part.join(rest, ["a", "b"], "left").withColumn("overlap", F.col("overlap") + F.coalesce("more", F.lit(0)))
+    return both.where(F.expr(f"{100 + percent} * overlap >= {percent} * (na + nb)")).select("a", "b")
 
 
 def join_components(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -294,9 +314,9 @@ def join_components(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     links reach, itself included)."""
     spark = df.sparkSession
     marks, counts = first_scan(df, text, key)
-    order = global_order(counts)
-    release(spark)
+    order = spark.sparkContext.broadcast(global_order(counts))
     shared = shared_postings(postings(df, text, order))
+    order.destroy()
     release(spark)
 
     near = shared.where(could_link("n", "pos", "prev_n", "prev_pos")).select(*pairs_of("class", "prev", "n", "prev_n"))
