@@ -5,8 +5,8 @@ starts in a document with a smaller key; windows are judged on the input.
 
 1. Anchors. In each window the ``GRAM``-word gram with the least hash, leftmost of equals, is
    its anchor. Equal windows have equal anchors, and neighbouring windows mostly share one, so
-   anchors are about a fifth of all places. Those that occur under two keys go into a Bloom
-   filter of fixed size.
+   anchors are about a fifth of all places. Those that two different texts have go into a
+   Bloom filter of fixed size; of equal texts, all but that with the smallest key go whole.
 2. Confirmation. Windows whose anchor passes are counted, pre-aggregated in their blocks:
    what has a smaller and a larger key recurs, and becomes a phrase with its first key.
 3. Automata. Each word has one of 255 letters, from its hash; a phrase is a string of
@@ -33,42 +33,24 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import arrow_rows, col, pieces, raw_texts, release, written
+from .common import ROOT, arrow_rows, col, pieces, powers, raw_texts, release, word_hashes, written
 
 WINDOW, GRAM = 13, 5
-ROOT = 0x9E3779B97F4A7C15 | 1
 BLOCK = 1 << 20
 SHARD_PHRASES, LEAST_SHARDS, BUCKETS = 100_000, 16, 1 << 16
 LAST = (1 << 63) - 1
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ROOT^0.. and ROOT^-0.. modulo 2^64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = []
-        for r in (ROOT, pow(ROOT, -1, 1 << 64)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
-
+WHOLE = (1 << 31) - 1
 
 class Windows:
     """Hashes of the windows of a text, its anchors, and the letters of its words."""
 
-    def __init__(self, words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> None:
-        n = len(words)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        up, down = _powers(n + 1)
+    def __init__(self, h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> None:
+        n = len(h)
+        up, down = powers(n + 1)
         total = np.r_[np.uint64(0), np.cumsum(h * up[:n], dtype=np.uint64)]
         whole = (total[window:] - total[:-window]) * down[: n - window + 1]
         grams = bloom.mixed((total[gram:] - total[:-gram]) * down[: n - gram + 1])
@@ -82,8 +64,8 @@ class Windows:
 
 
 def windows_of(raw: bytes | None) -> Windows | None:
-    words = (raw or b"").split()
-    return Windows(words) if len(words) >= WINDOW else None
+    h = word_hashes(raw or b"")
+    return Windows(h) if len(h) >= WINDOW else None
 
 
 def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -98,37 +80,43 @@ def _grouped(order_by: np.ndarray, *columns: np.ndarray):
     return np.flatnonzero(np.r_[True, out[0][1:] != out[0][:-1]]), out
 
 
+def copies(texts: DataFrame) -> DataFrame:
+    """(doc, mark, lo, hi): all words of texts that a smaller key has too, if they have a window at all."""
+    t = texts.select("doc", "mark", F.sha2(F.coalesce("t", F.lit("")).cast("binary"), 256).alias("sha"))
+    first = written(t.groupBy("sha").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("sha", "first"), "phrase-copies")
+    return t.join(first, "sha").where("doc > first").select("doc", "mark", F.lit(0).alias("lo"), F.lit(WHOLE).alias("hi"))
+
+
 def recurring_anchors(texts: DataFrame) -> DataFrame:
-    """Anchors (long) that occur under two keys."""
+    """Anchors (long) that two different texts have. Texts are told apart by 64 bits."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        anchors, docs, total = [], [], 0
+        anchors, texts_, total = [], [], 0
 
         def block():
-            starts, (a, d) = _grouped(np.concatenate(anchors), np.concatenate(docs))
+            starts, (a, d) = _grouped(np.concatenate(anchors), np.concatenate(texts_))
             lo, hi = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
             return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(lo), pa.array(hi, mask=hi == lo)], names=["anchor", "lo", "hi"])
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            for own_hash, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 if w := windows_of(raw):
                     own = np.unique(w.anchors)
                     anchors.append(own)
-                    docs.append(np.full(len(own), doc))
+                    texts_.append(np.full(len(own), own_hash))
                     total += len(own)
                     if total > BLOCK:
                         yield block()
-                        anchors, docs, total = [], [], 0
+                        anchors, texts_, total = [], [], 0
         if anchors:
             yield block()
 
-    rows = texts.select("doc", "t").mapInArrow(run, "anchor long, lo long, hi long")
+    rows = texts.select(F.xxhash64("t"), "t").mapInArrow(run, "anchor long, lo long, hi long")
     return rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi")).where("lo < hi").select("anchor")
 
 
-def phrases(texts: DataFrame, anchors: np.ndarray) -> DataFrame:
+def phrases(texts: DataFrame, shared) -> DataFrame:
     """Windows that occur under two keys: hash, letters, bucket (of the anchor), first (key), n."""
-    shared = texts.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         parts, total = [], 0
@@ -171,9 +159,8 @@ def bucket_of(anchors: np.ndarray) -> np.ndarray:
     return (anchors.view(np.uint64) >> np.uint64(30) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def stretches(texts: DataFrame, windows: np.ndarray) -> DataFrame:
+def stretches(texts: DataFrame, shared) -> DataFrame:
     """Runs of windows with one anchor that may hold a phrase: bucket, doc, mark, at (first word), letters, hashes."""
-    shared = texts.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -287,12 +274,16 @@ def repeated_ranges(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """(doc, mark, ranges) of the texts that lose words; doc and mark as in ``_texts``."""
     spark = df.sparkSession
     texts = _texts(df, text, key)
-    anchors = bloom.build(recurring_anchors(texts))
+    filters = spark.sparkContext.broadcast(bloom.build(recurring_anchors(texts)))
     release(spark)
-    found = written(phrases(texts, anchors), "phrases")
+    found = written(phrases(texts, filters), "phrases")
+    filters.destroy()
     release(spark)
-    ranges = written(locate(found, stretches(texts, bloom.build(found.select("hash")))), "phrase-ranges")
+    filters = spark.sparkContext.broadcast(bloom.build(found.select("hash")))
+    ranges = written(locate(found, stretches(texts, filters)), "phrase-ranges")
+    filters.destroy()
     release(spark)
+    ranges = ranges.unionByName(copies(texts))
     return ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
@@ -300,6 +291,8 @@ def _kept(raw: bytes | None, ranges: list | None) -> tuple[int, list[bytes]]:
     """Number of words, and those outside the ranges."""
     words = (raw or b"").split()
     gone = np.zeros(len(words), bool)
+    if len(words) < WINDOW:
+        return len(words), words
     for r in ranges or ():
         gone[r["lo"] : r["hi"]] = True
     return len(words), [words[i] for i in np.flatnonzero(~gone).tolist()]
