@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, pieces
+from .common import arrow_rows, col, pieces, written
 
 SPACE = "▁"
 MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 400_000
@@ -165,7 +165,7 @@ def frequent_words(df: DataFrame, model: Model, text: str = "text", most: int =
             yield block()
 
     counted = df.select(col(text).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = counted.where("n > 1").withColumn("level", F.floor(4 * F.log2("n")))
+    counted = written(counted.where("n > 1").withColumn("level", F.floor(4 * F.log2("n"))), "word-counts")
     total, least = 0, None
     for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # quarters of powers of 2: at most 256 rows
         total += r["count"]
