@@ -15,7 +15,8 @@ class (a 64-bit sum over the set), and only classes are joined.
    the hash, overlaps are counted apart in each fragment and summed per pair. A pair that
    the first fragment rules out, as the others cannot make up for it, goes no further.
 4. Links make components. Members of a posting that are still in different components
-   are paired in full, verified alike, and join the components. Members of one component
+   are paired in full. Pairs with too few shingles common to both prefixes are ruled out;
+   the others are verified alike, and join the components. Members of one component
    need no more pairs, so a group of n near copies costs about n pairs, not n * n.
 
 No pair that could link two components goes unverified, so components are those of all
@@ -42,7 +43,7 @@ from .graph import components
 
 SHINGLE, PERCENT = 5, 75
 MOST_HEAVY, LEAST_HEAVY = 1 << 21, 2
-FRAGMENTS = 4
+FRAGMENTS, BLOOM_BITS = 4, 25
 BLOCK = 1 << 21
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -238,6 +239,13 @@ def could_link(n1: str, p1: str, n2: str, p2: str, percent: int = PERCENT) -> st
     return f"100L * least({n1}, {n2}) >= {percent}L * greatest({n1}, {n2}) and {100 + percent}L * {left} >= {percent}L * ({n1} + {n2})"
 
 
+def prefixes_allow(n1: str, n2: str, shared: str, percent: int = PERCENT) -> str:
+    """SQL: a link is possible with ``shared`` common shingles in both prefixes. The set whose prefix ends first in the order
+    has no other common shingle up to there, and beyond it at most what its prefix leaves."""
+    rest = " , ".join(f"({percent}L * {n} + 99) div 100 - 1" for n in (n1, n2))
+    return f"{100 + percent}L * ({shared} + greatest({rest})) >= {percent}L * ({n1} + {n2})"
+
+
 def pairs_of(a: str, b: str, na: str, nb: str) -> list:
     flip = F.col(a) > F.col(b)
     return [F.when(flip, F.col(b)).otherwise(F.col(a)).alias("a"), F.when(flip, F.col(a)).otherwise(F.col(b)).alias("b"), F.when(flip, F.col(nb)).otherwise(F.col(na)).alias("na"), F.when(flip, F.col(na)).otherwise(F.col(nb)).alias("nb")]
@@ -246,7 +254,7 @@ def pairs_of(a: str, b: str, na: str, nb: str) -> list:
 def segments(df: DataFrame, text: str, classes: DataFrame, first: int, last: int) -> DataFrame:
     """(c, fragment, segment) of fragments ``first`` to ``last`` of the sets of ``classes`` (c), and of few others. Equal sets
     in different tasks come more than once."""
-    shared = df.sparkSession.sparkContext.broadcast(bloom.build(classes))
+    shared = df.sparkSession.sparkContext.broadcast(bloom.build(classes, BLOOM_BITS))
     edges = np.linspace(-(2**63), 2**63 - 1024, FRAGMENTS + 1)[1:-1].astype(np.int64)
 
     def cut(batches):
@@ -261,7 +269,7 @@ def segments(df: DataFrame, text: str, classes: DataFrame, first: int, last: int
             for raw in raw_texts(batch.column(0)):
                 s = shingles(raw)
                 c = class_of(s)
-                if not len(s) or c in seen or not bloom.passes(bits, np.array([c])).all():
+                if not len(s) or c in seen or not bloom.passes(bits, np.array([c]), BLOOM_BITS).all():
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
@@ -334,8 +342,10 @@ def join_components(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     apart = named.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
     named = written(named.join(apart, "token", "left_semi"), "ngram-apart")
     x, y = named.alias("x"), named.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & F.expr(could_link("x.n", "x.pos", "y.n", "y.pos")))
-    cross = cross.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    alike = F.expr(f"100L * least(x.n, y.n) >= {PERCENT}L * greatest(x.n, y.n)")
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.part") != F.col("y.part")) & alike)
+    cross = cross.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
+    cross = cross.where(prefixes_allow("na", "nb", "shared")).drop("shared")
     cross = written(cross.join(tried, ["a", "b"], "left_anti"), "ngram-cross")
     more = verified(df, text, cross) if not cross.isEmpty() else None
     release(spark)
