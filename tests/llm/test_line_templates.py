@@ -96,3 +96,11 @@ def test_kept_columns(spark):
     assert [tuple(r) for r in lt.drop_lines(df, keep=("a.b",)).collect()] == [(1, "x", "a b c d", 1, 0)]
     with pytest.raises(Exception):  # a kept column may not take the name of a result
         lt.drop_lines(df, keep=("key",)).select("key").collect()
+
+
+def test_short_lines(spark):
+    rows = [(i, f"Of.\nAll rights reserved.\npage {i}\n{'xyz'[i % 3]} {i // 3}\n{'z' * i} alone here") for i in range(1, 10)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == by_hand(rows)
+    assert [x[1].split("\n") for x in got[1:]] == [rows[i][1].split("\n")[3:] for i in range(1, 9)]
+    assert got[0][1] == rows[0][1]

@@ -7,7 +7,8 @@ with at least ``ALIKE`` percent of their words equal to the leader's, place by p
 it, and the places where they differ become ``<*>``. The lines left over choose the next leader, ``LEADERS`` times;
 what is left then is a template of its own. A template that ``LEAST_DOCS`` documents or more have is
 recurring: its lines are dropped from every document but the first that has it, so that no text is lost
-from the corpus. Lines under ``LEAST_WORDS`` words are never counted or dropped.
+from the corpus. Every line with a word counts; one of at most ``DEPTH`` words is its node, so
+it is generalised in words with a digit alone.
 
 Only hashes of lines are shuffled at first. Texts of lines follow for nodes that enough
 documents have, found through a Bloom filter of fixed size; equal lines of a node become
@@ -33,14 +34,14 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import arrow_rows, col, pieces, raw_texts, release, written
 
-DEPTH, ALIKE, LEADERS, LEAST_DOCS, LEAST_WORDS = 3, 70, 3, 5, 4
+DEPTH, ALIKE, LEADERS, LEAST_DOCS, LEAST_WORDS = 3, 70, 3, 5, 1
 LAST = (1 << 63) - 1
 DIGIT = re.compile(rb"[0-9]")
 VARIABLE = b"<*>"
 
 
 def parsed(line: bytes) -> tuple[int, list[bytes]] | None:
-    """Node and masked words of a line; None if it has too few words."""
+    """Node and masked words of a line; None if it has no word."""
     words = line.split()
     if len(words) < LEAST_WORDS:
         return None
