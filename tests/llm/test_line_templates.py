@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from vellum.llm import line_templates as lt
@@ -104,3 +105,40 @@ def test_short_lines(spark):
     assert got == by_hand(rows)
     assert [x[1].split("\n") for x in got[1:]] == [rows[i][1].split("\n")[3:] for i in range(1, 9)]
     assert got[0][1] == rows[0][1]
+
+
+def test_every_template_of_a_node_is_found(spark):
+    """Against leaders chosen without end, by documents."""
+    rnd = random.Random(7)
+    rows = []
+    for i in range(120):
+        lines = [" ".join(["we", "all", "know", *(rnd.choice("ab") * 2 for _ in range(n))]) for n in (1, 2, 4, 7, 7, 9) for _ in range(2)]
+        rows.append((i, "\n".join([lines[0]] * rnd.randrange(40) + lines)))
+    texts = lt._texts(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    got = {r["masked"]: r["leader"] for r in lt.templates(lt.lines_in(texts, np.full(1 << 24, 255, np.uint8))).collect()}
+    docs = Counter(line for _, t in rows for line in set(t.split("\n")))
+    want, heads = {}, defaultdict(list)
+    for line in sorted(docs, key=lambda x: (-docs[x], x)):
+        words = line.split()
+        alike = lambda head: 100 * sum(a == b for a, b in zip(words, head.split(), strict=True)) >= lt.ALIKE * len(words)  # noqa: B023, E731
+        head = next(filter(alike, heads[len(words)]), None)
+        if head is None:
+            heads[len(words)].append(head := line)
+        want[line] = head
+    assert max(map(len, heads.values())) > lt.LEADERS + 3
+    assert got == want
+
+
+def test_fourth_template_is_dropped(spark):
+    ends = ["red house", "blue car", "old tree", "tall man", "wet road"]
+    rows = [(i, "\n".join(f"we all know of {e} and {e[::-1]} by {'z' * (i + 1)}" for e in ends)) for i in range(6)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [x[3] for x in got] == [0, 5, 5, 5, 5, 5]
+
+
+def test_leaders_have_most_documents(spark):
+    """The line that one document repeats stands between two templates."""
+    far, mid, near = "a b c d e f g h i j", "a b c d e f g u v k", "a b c d w x g u v k"
+    rows = [(0, "\n".join([far] * 50)), (1, mid), *[(k, near) for k in (2, 3, 4, 5)]]
+    got = {x[0]: x[3] for x in found(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}

@@ -4,8 +4,10 @@ Lines are split at newlines. The tree has a fixed depth: a line's node is its nu
 words and its first ``DEPTH`` words, where words with a digit are the variable ``<*>``. In a
 node the masked line that most documents have (of ties, the least text) leads a template; lines
 with at least ``ALIKE`` percent of their words equal to the leader's, place by place, join
-it, and the places where they differ become ``<*>``. The lines left over choose the next leader, ``LEADERS`` times;
-what is left then is a template of its own. A template that ``LEAST_DOCS`` documents or more have is
+it, and the places where they differ become ``<*>``. The lines left over choose the next leader until none is left.
+The first ``LEADERS`` leaders of all nodes are met by joins; what is left of a node then passes as a stream in the
+leaders' order, where each line joins the first alike leader or becomes one, which gives the same templates.
+Leaders are found by blocks of places, one more than may differ. A template that ``LEAST_DOCS`` documents or more have is
 recurring: its lines are dropped from every document but the first that has it, so that no text is lost
 from the corpus. Every line with a word counts; one of at most ``DEPTH`` words is its node, so
 it is generalised in words with a digit alone.
@@ -23,7 +25,10 @@ rows; other columns of the input are not read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import merge
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import fold
 from . import bloom
 from .common import arrow_rows, col, pieces, raw_texts, release, written
 
@@ -102,9 +108,44 @@ def _equal_places(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
+def _place_blocks(words: list[str], need: int) -> list[tuple]:
+    """The words after the first ``DEPTH`` in as many blocks as places may differ, and one: lines with ``need`` equal places share a block."""
+    n, first = len(words) - need + 1, min(DEPTH, len(words))
+    cuts = [first + (len(words) - first) * i // n for i in range(n + 1)]
+    return [(i, *words[cuts[i] : cuts[i + 1]]) for i in range(n)]
+
+
+def _led(left: DataFrame, alike: int) -> DataFrame:
+    """(node, line, masked, leader): a node's lines, best first, join the first leader that is alike, or lead."""
+
+    def start():
+        return [], defaultdict(list)
+
+    def step(state, row):
+        if row is None:
+            return state, []
+        leaders, having = state
+        words = row["masked"].split(" ")
+        need = -(-alike * len(words) // 100)
+        blocks = _place_blocks(words, need)
+        for k in merge(*[having[b] for b in blocks if b in having]):
+            if sum(map(eq, words, leaders[k])) >= need:
+                break
+        else:
+            k = len(leaders)
+            leaders.append(words)
+            for b in blocks:
+                having[b].append(k)
+        return state, [(row["node"], row["line"], row["masked"], " ".join(leaders[k]))]
+
+    ranked = left.select("node", "line", "masked", (-F.col("n")).alias("rank"))
+    return fold(ranked, ["node"], ["rank", "masked"], start, step, "node long, line long, masked string, leader string")
+
+
 def templates(lines: DataFrame, alike: int = ALIKE, leaders: int = LEADERS) -> DataFrame:
     """(node, line, template: hash, leader: masked line) of every distinct masked line."""
-    left = written(lines.groupBy("node", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("n")), "line-variants")
+    once = lines.groupBy("node", "line", "doc").agg(F.min("masked").alias("masked"))
+    left = written(once.groupBy("node", "line").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("n")), "line-variants")
     done = None
     for k in range(leaders):
         lead = written(left.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "masked")).alias("lead")).select("node", F.col("lead.masked").alias("leader")), "line-leaders")
@@ -116,7 +157,8 @@ def templates(lines: DataFrame, alike: int = ALIKE, leaders: int = LEADERS) -> D
         left = tried.where("not joins").select("node", "line", "masked", "n")
         if k + 1 < leaders and left.isEmpty():
             break
-    done = done.unionByName(left.withColumn("leader", F.col("masked")).select("node", "line", "masked", "leader"))
+    rest = _led(left, alike)
+    done = rest if done is None else done.unionByName(rest)
     return done.select("node", "line", "masked", "leader", F.xxhash64("node", "leader").alias("template"))
 
 
