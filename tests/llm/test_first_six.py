@@ -234,6 +234,23 @@ def test_quality_against_plain_rules(spark, small):
     assert quality_rules.rate(empty(spark)).count() == 0
 
 
+def test_each_limit_rejects_what_the_base_rules_pass():
+    fresh = iter(range(100_000))
+    new = lambda n: [f"w{next(fresh):06}" for _ in range(n)]
+    a, passage = new(12), new(60)
+    wide = new(40) + [w for _ in range(8) for w in [*a, *new(40)]] + new(10)
+    long = passage + new(800) + passage + new(80)
+    pasted = new(500) + (x := new(1400)) + new(3000) + x + new(3700)
+    clean = new(300) + a + new(300) + a
+    found = dict(zip(("wide", "long", "pasted", "clean"), quality_rules.measure([" ".join(t).encode() for t in (wide, long, pasted, clean)])))
+    assert len(pasted) == 10_000 and found["pasted"][6] == 1400
+    cover = {k: 100 * m[5] / m[1] for k, m in found.items()}
+    far = {k: m[6] >= quality_rules.LONG_WORDS and 100 * m[6] > quality_rules.MAX_LONGEST * m[0] for k, m in found.items()}
+    assert cover["wide"] > quality_rules.MAX_COVERED and not far["wide"]
+    assert cover["long"] <= quality_rules.MAX_COVERED and far["long"]
+    assert {k: quality_rules.judge(m) for k, m in found.items()} == {"wide": (False, False), "long": (False, False), "pasted": (False, False), "clean": (False, True)}
+
+
 # language ID
 
 

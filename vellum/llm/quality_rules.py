@@ -10,7 +10,9 @@ own: results are exact, and texts in a batch don't meet.
 
 A row is kept if the base rules pass, repeats cover at most ``MAX_COVERED`` percent of
 the characters in words, and the longest repeat is shorter than ``LONG_WORDS`` words or
-at most ``MAX_LONGEST`` percent of the words.
+at most ``MAX_LONGEST`` percent of the words. Both limits reject texts that the base rules pass:
+the base rules allow repeats ``MAX_REPEAT`` percent of the words, of which a passage that comes twice
+is at most half.
 
 Cases: a null or empty text has no words and fails; repeated rows are judged one by
 one; a text of any length is judged whole; other columns of the input are not read.
@@ -29,7 +31,7 @@ from .common import SPACE_BYTES, arrow_rows, col, pieces, raw_texts
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
-MAX_COVERED, LONG_WORDS, MAX_LONGEST = 30, 50, 25
+MAX_COVERED, LONG_WORDS, MAX_LONGEST = 20, 50, 5
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars", "longest_repeat")
 
