@@ -171,6 +171,20 @@ def test_glossary(spark):
     assert len(got) == 5
 
 
+def test_glossary_of_long_forms(spark):
+    word = [f"w{i}" for i in range(40)]
+    other = [*word[:13], "x", *word[14:]]
+    rows = [(1, " ".join(["a", *word, "b", *word])), (2, " ".join(other)), (2, " ".join(word[:20])), (3, " ".join(word[:13])), (3, " ".join(word[:13])), (None, " ".join(word[:14])), (4, None)]
+    forms = [("all", " ".join(word)), ("14", " ".join(word[:14])), ("13", " ".join(word[:13]).upper()), ("12", " ".join(word[:12])), ("x", " ".join(other))]
+    given = spark.createDataFrame([(e, f, 1, False) for e, f in forms], "entry string, form string, priority int, allow_short boolean")
+    got = sorted(((r["unit"], r["start"], r["end"], r["entry"]) for r in G.occurrences(spark.createDataFrame(rows, "unit long, text string"), given).collect()), key=str)
+    want = []
+    for unit, text in rows:
+        ws = (text or "").split()
+        want += [(unit, i, i + len(f), e) for e, form in forms for f in [form.lower().split()] for i in range(len(ws)) if ws[i : i + len(f)] == f]
+    assert got == sorted(want, key=str) and {x[3] for x in got} == {"all", "14", "13", "12", "x"}
+
+
 def test_receipts(spark):
     scans = spark.createDataFrame([("b", 5, [1, 2, 4], [3], [2], [])], "book string, total int, done array<int>, failed array<int>, empty array<int>, allowed array<int>")
     r = receipts.progress(scans).first()

@@ -27,7 +27,7 @@ def phrase(c: Column) -> Column:
 def usable(forms: DataFrame) -> DataFrame:
     """Forms with their phrase and number of words; of 3 characters, or 2 if short ones are allowed."""
     rows = forms.withColumn("phrase", phrase(F.col("form"))).withColumn("n", F.size(words(F.col("form"))))
-    return rows.where((F.char_length("phrase") >= F.when(F.coalesce("allow_short", F.lit(False)), 2).otherwise(3)) & F.col("n").between(1, MOST_WORDS))
+    return rows.where((F.char_length("phrase") >= F.when(F.coalesce("allow_short", F.lit(False)), 2).otherwise(3)) & (F.col("n") >= 1))
 
 
 def grams(ws: Column, n: int) -> Column:
@@ -40,17 +40,31 @@ def grams(ws: Column, n: int) -> Column:
 
 def occurrences(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """(unit, start, end, entry, form, priority) for every occurrence of a form in texts (unit, text); places count words. n-grams are
-    built for the lengths that forms have, ``MOST_WORDS`` at most."""
+    built for the lengths that forms have, ``MOST_WORDS`` at most; longer forms are looked up by so many words and the rest is compared."""
     forms = usable(forms).select("entry", "form", "phrase", "n", "priority")
     sizes = sorted(r["n"] for r in forms.select("n").distinct().collect()) or [1]
     found = None
-    for n in sizes:
+    for n in [n for n in sizes if n <= MOST_WORDS]:
         rows = texts.select("unit", F.posexplode(grams(words(F.col("text")), n)).alias("start", "phrase"))
         hits = rows.join(forms.where(F.col("n") == n), "phrase").select("unit", "start", (F.col("start") + n).alias("end"), "entry", "form", "priority")
         found = hits if found is None else found.unionByName(hits)
+    if sizes[-1] > MOST_WORDS:
+        hits = _longer(texts, forms.where(F.col("n") > MOST_WORDS))
+        found = hits if found is None else found.unionByName(hits)
     return found
 
 
+def _longer(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """Occurrences of forms of more than ``MOST_WORDS`` words. Equal rows of texts are looked up once and met again by their text's digest."""
+    head = F.array_join(F.slice(F.split("phrase", " "), 1, MOST_WORDS), " ")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    rows = texts.select("unit", "text").distinct().select(F.col("unit").alias("at"), sha.alias("sha"), F.posexplode(grams(words(F.col("text")), MOST_WORDS)).alias("start", "head"))
+    near = rows.join(forms.withColumn("head", head), "head").drop("head")
+    both = near.join(texts.select("unit", "text", sha.alias("own")), F.col("at").eqNullSafe(F.col("unit")) & (F.col("sha") == F.col("own")))
+    whole = both.where(F.array_join(F.slice(words(F.col("text")), F.col("start") + 1, F.col("n")), " ") == F.col("phrase"))
+    return whole.select("unit", "start", (F.col("start") + F.col("n")).alias("end"), "entry", "form", "priority")
+
+
 def contained(texts: DataFrame, passages: DataFrame, anchor: int = 5) -> DataFrame:
     """(unit, item) where a text contains a passage (item, text) literally. Candidates share the passage's first ``anchor`` words, or
     all of a shorter one, found by equi-join; the literal test follows on those."""
