@@ -1,48 +1,61 @@
-"""Bloom filters of a fixed size over 64-bit numbers: what they let pass wrongly costs
-time, never a result, and their broadcast has the same size for any input."""
+"""Bloom filters over well-mixed 64-bit numbers: what they let pass wrongly costs time, never a
+result. A filter is sized by the number of values, up to ``MOST_BITS``, which bounds its broadcast
+for any input; some 3 * 10^7 values fill that, beyond it ever more passes wrongly. A value has all
+its bits in one block, so that blocks are made apart, each by the task that has its values."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-BITS = 27
-SHIFTS = (0, 18, 36)
+from .common import mixed
 
+LEAST_BITS, MOST_BITS, BITS_EACH = 18, 28, 12
+BLOCK = 15
+SHIFTS = (0, 17, 34)
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """64-bit finaliser."""
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return h ^ (h >> np.uint64(32))
 
-
-def _places(values: np.ndarray, bits: int):
+def _places(values: np.ndarray) -> list[np.ndarray]:
     h = mixed(values.view(np.uint64))
-    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in SHIFTS]
+    return [(h >> np.uint64(s)) & np.uint64((1 << BLOCK) - 1) for s in SHIFTS]
 
 
-def build(values: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Packed bits over the one long column of ``values``, made in a few parts that come to
-    the driver one by one."""
+def build(values: DataFrame) -> np.ndarray:
+    """Packed bits over the one long column of ``values``, a table that is read twice."""
+    (name,) = values.columns
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * values.count()).bit_length()))
+    blocks = 1 << (bits - BLOCK)
 
     def run(batches):
-        own = np.zeros(1 << bits, bool)
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                own[at] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in values.coalesce(6).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def passes(packed: np.ndarray, values: np.ndarray, bits: int = BITS) -> np.ndarray:
+            block, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.argsort(block, kind="stable")
+            block, v = block[order], v[order]
+            edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]).tolist()
+            places = _places(v)
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                bit = own.setdefault(int(block[lo]), np.zeros(1 << BLOCK, bool))
+                for at in places:
+                    bit[at[lo:hi]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["block", "bits"])
+
+    dealt = values.where(F.col(name).isNotNull()).select(F.expr(f"cast(shiftrightunsigned({name}, 40) & {blocks - 1} as int)").alias("block"), name).repartition("block")
+    made = dealt.mapInArrow(run, "block int, bits binary").toArrow()
+    out = np.zeros((blocks, 1 << (BLOCK - 3)), np.uint8)
+    for block, x in zip(made.column(0).to_pylist(), made.column(1), strict=True):
+        out[block] = np.frombuffer(x.as_py(), np.uint8)
+    return out.ravel()
+
+
+def passes(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value may be in the set."""
+    blocks = np.uint64(len(packed) >> (BLOCK - 3))
+    start = (values.view(np.uint64) >> np.uint64(40) & (blocks - np.uint64(1))) << np.uint64(BLOCK)
     out = np.ones(len(values), bool)
-    for at in _places(values, bits):
+    for at in _places(values):
+        at |= start
         out &= (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
     return out

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. One of our own only where none is set and all run in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints/vellum"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -48,7 +51,16 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def arrow_rows(
@@ -88,42 +100,54 @@ def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
         yield x.as_py()
 
 
-ROOT = 0x9E3779B97F4A7C15
-_LETTERS = np.random.default_rng(20240229).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))
-_POWERS: list[np.ndarray] = []
+_KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25], np.uint64)
+#: Of the 8 bytes loaded at a place, those of a word that has n left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words longer than this are hashed apart, those of a text in steps of so many.
+LONG_WORD, STEP = 256, 1 << 16
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ROOT^0.. and ROOT^-0.. modulo 2^64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = []
-        for r in (ROOT, pow(ROOT, -1, 1 << 64)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit finaliser."""
+    h = (h ^ (h >> np.uint64(32))) * _KEYS[2]
+    h = (h ^ (h >> np.uint64(29))) * _KEYS[3]
+    return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, all at once: differences of a running sum of letters times powers, with
-    the word's length, mixed."""
+def flat_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts of a column, end to end, and where each text's begin (one place more than
+    texts). A word's bytes are read 8 at a time, a step of words at once; ``lower``: A-Z as a-z."""
+    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    n = int(offsets[-1] - offsets[0])
+    raw = bytes(column.buffers()[2][int(offsets[0]) : int(offsets[-1])]) if n else b""
+    offsets = offsets - offsets[0]
+    raw = (raw.lower() if lower else raw) + bytes(8)
     data = np.frombuffer(raw, np.uint8)
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True, append=True))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTERS[data] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
-    return h ^ (h >> np.uint64(32))
+    inner = (data[:n] != 32) & ((data[:n] - np.uint8(9)) > 4)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    edge = inner.copy()
+    edge[1:] &= ~inner[:-1] | cut[1:n]
+    starts = np.flatnonzero(edge)
+    edge = inner
+    edge[:-1] &= ~edge[1:] | cut[1:n]
+    sizes = np.flatnonzero(edge) + 1 - starts
+    loads = np.ndarray(n + 1, "<u8", raw, strides=(1,))
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), STEP):
+        start, size = starts[at : at + STEP], sizes[at : at + STEP]
+        h = ((loads[start] & _MASKS[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _KEYS[0]) * _KEYS[1]
+        more, done = np.flatnonzero(size > 8), 8
+        while len(more) and done < LONG_WORD:
+            part = loads[start[more] + done] & _MASKS[np.minimum(size[more] - done, 8)]
+            h[more] = mixed(h[more] ^ part) * _KEYS[0]
+            done += 8
+            more = more[size[more] > done]
+        for i in more.tolist():
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]])
+        out[at : at + STEP] = mixed(h)
+    return out, np.searchsorted(starts, offsets)
 
 
 def release(spark: SparkSession) -> None:

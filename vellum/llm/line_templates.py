@@ -61,7 +61,7 @@ def signed(data: bytes) -> int:
 
 
 def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
-    return df.select(F.coalesce(col(key).cast("long"), F.lit(LAST)).alias("doc"), F.hash(col(text)).alias("mark"), col(text).alias("t"), col(key).alias("key"))
+    return df.select(F.coalesce(col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(col(text)).alias("mark"), col(text).alias("t"), col(key).alias("key"))
 
 
 def nodes(texts: DataFrame, least_docs: int) -> DataFrame:
@@ -97,11 +97,11 @@ def lines_in(texts: DataFrame, packed: np.ndarray) -> DataFrame:
                 node, masked, doc, mark, at = zip(*out, strict=True)
                 masked = [b" ".join(m) for m in masked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node, pa.int64()), pa.array([signed(m) for m in masked], pa.int64()), pa.array([m.decode() for m in masked], pa.string()), pa.array(doc, pa.int64()), pa.array(mark, pa.int32()), pa.array(at, pa.int32())],
+                    [pa.array(node, pa.int64()), pa.array([signed(m) for m in masked], pa.int64()), pa.array([m.decode() for m in masked], pa.string()), pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(at, pa.int32())],
                     names=["node", "line", "masked", "doc", "mark", "at"],
                 )
 
-    return arrow_rows(texts.select("doc", "mark", "t"), rows, "node long, line long, masked string, doc long, mark int, at int")
+    return arrow_rows(texts.select("doc", "mark", "t"), rows, "node long, line long, masked string, doc long, mark long, at int")
 
 
 def _equal_places(a: Column, b: Column) -> Column:
@@ -175,7 +175,7 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", leas
     """(doc, mark, gone: numbers of the lines to drop) of the texts that lose lines."""
     spark = df.sparkSession
     texts = _texts(df, text, key)
-    packed = bloom.build(nodes(texts, least_docs))
+    packed = bloom.build(written(nodes(texts, least_docs), "line-nodes"))
     release(spark)
     lines = written(lines_in(texts, packed), "lines")
     named = written(templates(lines).select("node", "line", "template"), "line-templates")
@@ -189,7 +189,7 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", leas
 def drop_lines(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row for each row: key, the ``keep`` columns, text (without dropped lines), n_lines, n_dropped."""
     texts = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"), col(key).alias("_key"))
-    docs = texts.withColumn("doc", F.coalesce(F.col("_key").cast("long"), F.lit(LAST))).withColumn("mark", F.hash("_text"))
+    docs = texts.withColumn("doc", F.coalesce(F.col("_key").cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64("_text"))
     both = docs.join(recurring_lines(df, text, key, least_docs), ["doc", "mark"], "left")
     n = len(keep)
     both = both.select("_key", *[f"_keep{i}" for i in range(n)], "_text", "gone")

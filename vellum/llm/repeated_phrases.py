@@ -3,26 +3,26 @@
 A window is ``WINDOW`` consecutive words of one text. A word goes if a window that covers it also
 starts in a document with a smaller key; windows are judged on the input.
 
-1. Anchors. In each window the ``GRAM``-word gram with the least hash, leftmost of equals, is
-   its anchor. Equal windows have equal anchors, and neighbouring windows mostly share one, so
-   anchors are about a fifth of all places. Those that two different texts have go into a
-   Bloom filter of fixed size; of equal texts, all but that with the smallest key go whole.
+1. Anchors. In each window the least hash of a ``GRAM``-word gram is its anchor. Equal windows
+   have equal anchors, and neighbouring windows mostly share one, so anchors are about a
+   fifth of all places. Those that two different texts have go into a Bloom filter; of
+   equal texts, all but that with the smallest key go whole.
 2. Confirmation. Windows whose anchor passes are counted, pre-aggregated in their blocks:
    what has a smaller and a larger key recurs, and becomes a phrase with its first key.
 3. Automata. Each word has one of 255 letters, from its hash; a phrase is a string of
-   ``WINDOW`` letters. Phrases are sharded by anchor, and each shard is compiled with
-   pyahocorasick.
+   ``WINDOW`` letters. Phrases are sharded by anchor, about ``SHARD_PHRASES`` in each, and each shard is
+   compiled with pyahocorasick.
 4. Streaming. Every text is streamed again; the stretches that may hold a phrase go to the
-   shard of their anchor and run through its automaton, which gives every occurrence, each
-   checked by the 64-bit hash of its window. A shard with many occurrences is replicated, and
-   its stretches are dealt over the copies.
+   shard of their anchor, laid end to end, and run through its automaton, which gives every
+   occurrence, each checked by the 64-bit hash of its window. A shard with more than
+   ``SHARD_USES`` occurrences is replicated, and its stretches are dealt over the copies.
 
 Equality of windows is that of 64 bits over 13 word hashes together with 13 letters.
 
 Cases: a null or short text has no window and keeps its words; a null key is larger than
 any other; rows with equal keys don't take words from each other; repeated rows come out as
-often as they came in; an empty table gives no rows; other columns of the input are
-not read.
+often as they came in; an empty table gives no rows; a text of any length is taken whole;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -37,40 +37,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ROOT, arrow_rows, col, pieces, powers, raw_texts, release, word_hashes, written
+from .common import arrow_rows, col, discard, flat_words, mixed, pieces, raw_texts, release, written
 
 WINDOW, GRAM = 13, 5
 BLOCK = 1 << 20
-SHARD_PHRASES, LEAST_SHARDS, BUCKETS = 100_000, 16, 1 << 16
+SHARD_PHRASES, SHARD_USES, LEAST_SHARDS = 100_000, 1_000_000, 16
 LAST = (1 << 63) - 1
 WHOLE = (1 << 31) - 1
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-class Windows:
-    """Hashes of the windows of a text, its anchors, and the letters of its words."""
-
-    def __init__(self, h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> None:
-        n = len(h)
-        up, down = powers(n + 1)
-        total = np.r_[np.uint64(0), np.cumsum(h * up[:n], dtype=np.uint64)]
-        whole = (total[window:] - total[:-window]) * down[: n - window + 1]
-        grams = bloom.mixed((total[gram:] - total[:-gram]) * down[: n - gram + 1])
-        self.letters = ((h >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-        self.hashes = bloom.mixed(whole ^ np.uint64(ROOT)).view(np.int64)
-        at = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1)
-        #: Runs of windows that share an anchor: the first window of each, and the anchor.
-        self.starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.ends = np.r_[self.starts[1:], len(at)]
-        self.anchors = grams[at[self.starts]].view(np.int64)
 
-
-def windows_of(raw: bytes | None) -> Windows | None:
-    h = word_hashes(raw or b"")
-    return Windows(h) if len(h) >= WINDOW else None
+class Windows:
+    """Windows of all texts of a column, end to end: hashes, the text and first word of each, runs that share an
+    anchor (starts, ends, anchors), and the letters of all words."""
+
+    def __init__(self, column: pa.Array, window: int = WINDOW, gram: int = GRAM) -> None:
+        words, at = flat_words(column)
+        n = np.diff(at)
+        self.letters = (words >> np.uint64(40)).astype(np.uint8)
+        self.letters[self.letters == 0] = 1
+        size = len(words) - window + 1
+        if size < 1:
+            words, size = np.zeros(window, np.uint64), 1
+        inside = np.ones(max(len(words), window), bool)
+        for i in range(1, window):
+            inside[(at[1:] - i)[at[1:] >= i]] = False
+        grams = words[: len(words) - gram + 1] * ODD[0]
+        for i in range(1, gram):
+            grams += words[i : len(words) - gram + 1 + i] * ODD[i]
+        grams = mixed(grams)
+        here = np.flatnonzero(inside[:size]) if len(self.letters) >= window else np.zeros(0, np.int64)
+        whole = grams[:size] * ODD[1] + grams[gram : gram + size] * ODD[2] + grams[window - gram : window - gram + size] * ODD[3]
+        self.hashes = mixed(whole[here]).view(np.int64)
+        least, wide = grams, 1
+        while wide * 2 <= window - gram + 1:
+            least, wide = np.minimum(least[:-wide], least[wide:]), wide * 2
+        rest = window - gram + 1 - wide
+        least = np.minimum(least[: len(least) - rest], least[rest:])[here]
+        self.words, self.text = here, np.repeat(np.arange(len(n)), np.maximum(n - window + 1, 0))
+        self.first = at[:-1]
+        edge = np.r_[True, (least[1:] != least[:-1]) | (self.text[1:] != self.text[:-1])] if len(here) else np.zeros(0, bool)
+        self.starts = np.flatnonzero(edge)
+        self.ends = np.r_[self.starts[1:], len(here)] if len(here) else self.starts
+        self.anchors = least[self.starts].view(np.int64)
 
 
 def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
     """doc (a null key as the last number), mark (tells texts under one key apart), t, key."""
-    return df.select(F.coalesce(col(key).cast("long"), F.lit(LAST)).alias("doc"), F.hash(col(text)).alias("mark"), col(text).alias("t"), col(key).alias("key"))
+    return df.select(F.coalesce(col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(col(text)).alias("mark"), col(text).alias("t"), col(key).alias("key"))
 
 
 def _grouped(order_by: np.ndarray, *columns: np.ndarray):
@@ -99,16 +113,15 @@ def recurring_anchors(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(lo), pa.array(hi, mask=hi == lo)], names=["anchor", "lo", "hi"])
 
         for batch in batches:
-            for own_hash, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                if w := windows_of(raw):
-                    own = np.unique(w.anchors)
-                    anchors.append(own)
-                    texts_.append(np.full(len(own), own_hash))
-                    total += len(own)
-                    if total > BLOCK:
-                        yield block()
-                        anchors, texts_, total = [], [], 0
-        if anchors:
+            for part in pieces(batch, 1, 1 << 20):
+                w = Windows(part.column(1))
+                anchors.append(w.anchors)
+                texts_.append(part.column(0).to_numpy(zero_copy_only=False)[w.text[w.starts]])
+                total += len(w.anchors)
+                if total > BLOCK:
+                    yield block()
+                    anchors, texts_, total = [], [], 0
+        if total:
             yield block()
 
     rows = texts.select(F.xxhash64("t"), "t").mapInArrow(run, "anchor long, lo long, hi long")
@@ -133,16 +146,15 @@ def phrases(texts: DataFrame, shared) -> DataFrame:
             )
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                if not (w := windows_of(raw)):
-                    continue
-                some = bloom.passes(shared.value, w.anchors)
-                if not some.any():
-                    continue
+            for part in pieces(batch, 1, 1 << 20):
+                w = Windows(part.column(1))
                 sizes = w.ends - w.starts
-                at = np.flatnonzero(np.repeat(some, sizes))
-                letters = np.lib.stride_tricks.sliding_window_view(w.letters, WINDOW)[at]
-                parts.append((w.hashes[at], letters, np.repeat(bucket_of(w.anchors), sizes)[at], np.full(len(at), doc)))
+                at = np.flatnonzero(np.repeat(bloom.passes(shared.value, w.anchors), sizes))
+                if not len(at):
+                    continue
+                letters = np.lib.stride_tricks.sliding_window_view(w.letters, WINDOW)[w.words[at]]
+                docs = part.column(0).to_numpy(zero_copy_only=False)
+                parts.append((w.hashes[at], letters, np.repeat(bucket_of(w.anchors), sizes)[at], docs[w.text[at]]))
                 total += len(at)
                 if total > BLOCK // 2:
                     yield block()
@@ -156,132 +168,157 @@ def phrases(texts: DataFrame, shared) -> DataFrame:
 
 
 def bucket_of(anchors: np.ndarray) -> np.ndarray:
-    return (anchors.view(np.uint64) >> np.uint64(30) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    return (anchors.view(np.uint64) >> np.uint64(30) & np.uint64((1 << 31) - 1)).astype(np.int32)
 
 
-def stretches(texts: DataFrame, shared) -> DataFrame:
-    """Runs of windows with one anchor that may hold a phrase: bucket, doc, mark, at (first word), letters, hashes."""
+STRETCHES = "shard int, copy int, kind int, letters binary, hash long, first long, hashes binary, docs binary, marks binary, at binary, sizes binary"
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        rows = []
 
-        def block():
-            b, d, m, at, x, h = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(b, pa.int32()), pa.array(d, pa.int64()), pa.array(m, pa.int32()), pa.array(at, pa.int32()), pa.array(x, pa.binary()), pa.array(h, pa.binary())],
-                names=["bucket", "doc", "mark", "at", "letters", "hashes"],
-            )
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the spans, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
 
+
+def stretches(texts: DataFrame, filters, copies_of, shards: int) -> DataFrame:
+    """Runs of windows with one anchor that may hold a phrase, dealt to shards: a row has all those of a block of texts,
+    end to end, with doc, mark, first word and number of windows of each."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in STRETCHES.split(", ")]
         for batch in batches:
-            for doc, mark, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                if not (w := windows_of(raw)):
+            for part in pieces(batch, 2, 4 << 20):
+                w = Windows(part.column(2))
+                if not len(w.starts):
                     continue
-                some = bloom.passes(shared.value, w.hashes)
-                if not some.any():
+                hit = np.flatnonzero(np.logical_or.reduceat(bloom.passes(filters.value, w.hashes), w.starts))
+                if not len(hit):
                     continue
-                hit = np.logical_or.reduceat(some, w.starts)
-                letters, hashes = w.letters.tobytes(), w.hashes.tobytes()
-                for lo, hi, b in zip(w.starts[hit].tolist(), w.ends[hit].tolist(), bucket_of(w.anchors[hit]).tolist(), strict=True):
-                    rows.append((b, doc, mark, lo, letters[lo : hi + WINDOW - 1], hashes[8 * lo : 8 * hi]))
-                if len(rows) > 50_000:
-                    yield block()
-                    rows = []
-        if rows:
-            yield block()
-
-    return texts.select("doc", "mark", "t").mapInArrow(run, "bucket int, doc long, mark int, at int, letters binary, hashes binary")
+                shard = bucket_of(w.anchors[hit]) % shards
+                lo, n = w.starts[hit], (w.ends - w.starts)[hit]
+                doc, mark = (part.column(i).to_numpy(zero_copy_only=False)[w.text[lo]] for i in range(2))
+                at = w.words[lo]
+                copy = (mixed(doc.view(np.uint64) * ODD[0] + at.astype(np.uint64)) % copies_of.value[shard].astype(np.uint64)).astype(np.int32)
+                order = np.lexsort((copy, shard))
+                shard, copy, lo, n, doc, mark, at = (x[order] for x in (shard, copy, lo, n, doc, mark, at))
+                edge = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (copy[1:] != copy[:-1]), True])
+                first = (at - w.first[w.text[lo]]).astype(np.int32)
+                rows = [[] for _ in names]
+                for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                    row = (
+                        shard[a], copy[a], 1, w.letters[_spans(at[a:b], n[a:b] + WINDOW - 1)].tobytes(), None, None, w.hashes[_spans(lo[a:b], n[a:b])].tobytes(),
+                        doc[a:b].tobytes(), mark[a:b].tobytes(), first[a:b].tobytes(), n[a:b].astype(np.int32).tobytes(),
+                    )
+                    for x, y in zip(rows, row, strict=True):
+                        x.append(y)
+                kinds = [pa.int32()] * 3 + [pa.binary(), pa.int64(), pa.int64()] + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
+
+    return texts.select("doc", "mark", "t").mapInArrow(run, STRETCHES)
 
 
 class Shard:
-    """The automaton of some phrases."""
-
-    def __init__(self) -> None:
-        self.by_letters: dict[str, dict[int, int]] = {}
-        self.automaton = None
-
-    def add(self, letters: bytes, hash_: int, first: int) -> None:
-        self.by_letters.setdefault(letters.decode("latin-1"), {})[hash_] = first
-
-    def occurrences(self, letters: bytes, hashes: bytes) -> Iterator[tuple[int, int]]:
-        """(window, first key of its phrase) for every phrase in a stretch."""
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for x, by_hash in self.by_letters.items():
-                self.automaton.add_word(x, by_hash)
+    """The automaton of some phrases (letters, 64-bit hashes, first keys)."""
+
+    def __init__(self, letters: list[bytes], hashes: np.ndarray, first: np.ndarray) -> None:
+        order = sorted(range(len(letters)), key=letters.__getitem__)
+        self.hashes, self.first = hashes[order], first[order]
+        self.automaton = ahocorasick.Automaton()
+        begin, before = [], None
+        for i, k in enumerate(order):  # phrases with equal letters lie side by side
+            if letters[k] != before:
+                before = letters[k]
+                self.automaton.add_word(before.decode("latin-1"), len(begin))
+                begin.append(i)
+        self.begin = np.array([*begin, len(order)])
+        if begin:
             self.automaton.make_automaton()
-        if self.by_letters:
-            own = np.frombuffer(hashes, np.int64).tolist()
-            for end, by_hash in self.automaton.iter(letters.decode("latin-1")):
-                at = end - WINDOW + 1
-                if (first := by_hash.get(own[at])) is not None:
-                    yield at, first
 
-
-def locate(found: DataFrame, rows: DataFrame) -> DataFrame:
+    def occurrences(self, letters: bytes, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, window in it, first key) of every phrase in stretches of ``sizes`` windows, laid end to end."""
+        ends = np.cumsum(sizes + WINDOW - 1)
+        found = list(self.automaton.iter(letters.decode("latin-1"))) if len(self.first) else []
+        end = np.fromiter((e for e, _ in found), np.int64, len(found))
+        which = np.fromiter((v for _, v in found), np.int64, len(found))
+        start = end - WINDOW + 1
+        stretch = np.searchsorted(ends, start, side="right")
+        inside = end < ends[stretch]
+        start, which, stretch = start[inside], which[inside], stretch[inside]
+        window = start - (ends - sizes - WINDOW + 1)[stretch]
+        own = hashes[(np.cumsum(sizes) - sizes)[stretch] + window]
+        phrase = np.full(len(own), -1)
+        for k in range(int(np.diff(self.begin).max(initial=0))):
+            at = np.minimum(self.begin[which] + k, len(self.hashes) - 1)
+            phrase = np.where((self.begin[which] + k < self.begin[which + 1]) & (self.hashes[at] == own), at, phrase)
+        ok = phrase >= 0
+        return stretch[ok], window[ok], self.first[phrase[ok]]
+
+
+def locate(found: DataFrame, texts: DataFrame, filters) -> DataFrame:
     """(doc, mark, lo, hi): ranges of words covered by phrases with a smaller first key."""
     spark = found.sparkSession
-    n = found.count()
-    shards = min(BUCKETS, max(LEAST_SHARDS, -(-n // SHARD_PHRASES)))
-    found, rows = (df.withColumn("shard", F.col("bucket") % shards) for df in (found, rows))
-    uses = {r["shard"]: r["n"] for r in found.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # at most BUCKETS rows
-    most = max(200_000, 2 * sum(uses.values()) // max(1, len(uses)))
-    copies = spark.createDataFrame([(s, -(-u // most)) for s, u in uses.items()] or [(0, 1)], "shard int, copies int")
-    found = found.join(F.broadcast(copies), "shard").select(
+    shards = max(LEAST_SHARDS, -(-found.count() // SHARD_PHRASES))
+    found = found.withColumn("shard", F.col("bucket") % shards)
+    uses = found.groupBy("shard").agg(F.sum("n").alias("n"))
+    many = np.ones(shards, np.int32)  # a number for each SHARD_PHRASES phrases
+    for r in uses.toArrow().to_pylist():
+        many[r["shard"]] = -(-r["n"] // SHARD_USES)
+    copies_of = spark.sparkContext.broadcast(many)
+    n = uses.select("shard", F.expr(f"cast(ceil(n / {SHARD_USES}) as int)").alias("copies"))
+    found = found.join(n, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "letters", "hash", "first",
-        F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("int").alias("mark"), F.lit(None).cast("int").alias("at"),
-    )
-    rows = rows.join(F.broadcast(copies), "shard").select(
-        "shard", F.pmod(F.xxhash64("doc", "at"), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("kind"), "letters", F.lit(None).cast("long").alias("hash"), F.col("doc").alias("first"),
-        "hashes", "mark", "at",
+        *[F.lit(None).cast("binary").alias(c) for c in ("hashes", "docs", "marks", "at", "sizes")],
     )
-    both = found.unionByName(rows).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    both = found.unionByName(stretches(texts, filters, copies_of, shards)).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        now, shard, out = None, Shard(), []
-
-        def block():
-            d, m, lo, hi = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc", "mark", "lo", "hi"])
-
+        now, shard, known = None, None, ([], [], [])
         for batch in batches:
-            for s, c, kind, letters, hash_, key, hashes, mark, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (s, c) != now:
-                    now, shard = (s, c), Shard()
-                if kind == 0:
-                    shard.add(letters, hash_, key)
+            shard_, copy, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edge = np.flatnonzero(np.r_[True, (shard_[1:] != shard_[:-1]) | (copy[1:] != copy[:-1]) | (kind[1:] != kind[:-1]), True]).tolist()
+            for a, b in zip(edge, edge[1:], strict=False):
+                if (shard_[a], copy[a]) != now:
+                    now, shard, known = (shard_[a], copy[a]), None, ([], [], [])
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    known[0].extend(part.column(3).to_pylist())
+                    for i in (1, 2):
+                        known[i].append(part.column(3 + i).to_numpy(zero_copy_only=False))
                     continue
-                lo = hi = None
-                for i, first in shard.occurrences(letters, hashes):
-                    if first < key:
-                        if hi is not None and i + at <= hi:
-                            hi = i + at + WINDOW
-                        else:
-                            if hi is not None:
-                                out.append((key, mark, lo, hi))
-                            lo, hi = i + at, i + at + WINDOW
-                if hi is not None:
-                    out.append((key, mark, lo, hi))
-                if len(out) > 50_000:
-                    yield block()
-                    out = []
-        if out:
-            yield block()
-
-    return both.mapInArrow(run, "doc long, mark int, lo int, hi int")
+                if shard is None:
+                    none = [np.zeros(0, np.int64)]
+                    shard, known = Shard(known[0], np.concatenate(known[1] or none), np.concatenate(known[2] or none)), ([], [], [])
+                for row in part.to_pylist():
+                    docs, marks = (np.frombuffer(row[c], np.int64) for c in ("docs", "marks"))
+                    at, sizes = (np.frombuffer(row[c], np.int32) for c in ("at", "sizes"))
+                    stretch, window, first = shard.occurrences(row["letters"], np.frombuffer(row["hashes"], np.int64), sizes.astype(np.int64))
+                    own = first < docs[stretch]
+                    stretch, lo = stretch[own], (window + at[stretch])[own]
+                    if not len(lo):
+                        continue
+                    new = np.flatnonzero(np.r_[True, (stretch[1:] != stretch[:-1]) | (lo[1:] > lo[:-1] + WINDOW)])
+                    hi = lo[np.r_[new[1:] - 1, len(lo) - 1]] + WINDOW
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(docs[stretch[new]]), pa.array(marks[stretch[new]]), pa.array(lo[new].astype(np.int32)), pa.array(hi.astype(np.int32))], names=["doc", "mark", "lo", "hi"]
+                    )
+
+    return both.mapInArrow(run, "doc long, mark long, lo int, hi int")
 
 
 def repeated_ranges(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, mark, ranges) of the texts that lose words; doc and mark as in ``_texts``."""
     spark = df.sparkSession
     texts = _texts(df, text, key)
-    filters = spark.sparkContext.broadcast(bloom.build(recurring_anchors(texts)))
-    release(spark)
+    anchors = written(recurring_anchors(texts), "phrase-anchors")
+    filters = spark.sparkContext.broadcast(bloom.build(anchors))
     found = written(phrases(texts, filters), "phrases")
     filters.destroy()
+    discard(anchors)
     release(spark)
     filters = spark.sparkContext.broadcast(bloom.build(found.select("hash")))
-    ranges = written(locate(found, stretches(texts, filters)), "phrase-ranges")
+    ranges = written(locate(found, texts, filters), "phrase-ranges")
     filters.destroy()
+    discard(found)
     release(spark)
     ranges = ranges.unionByName(copies(texts))
     return ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
