@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.llm import graph, ngram_join
@@ -91,7 +92,40 @@ def test_components_of_long_paths(spark):
     assert got == {(x, min(nodes[:70])) for x in nodes[:70]} | {(x, min(nodes[80:])) for x in nodes[80:]}
 
 
-def test_prefix_puts_heavy_shingles_last():
-    s = np.array([-5, 1, 7, 9], np.int64)
-    order = ngram_join.Order(np.array([-5, 7], np.int64), np.array([9, 4], np.int8))
-    assert order.prefix(s, 3).tolist() == [1, 9, 7] and order.prefix(s, 2).tolist() == [1, 9]
+def test_order_puts_heavy_shingles_last_and_cuts_by_frequency():
+    hashes, counts = np.array([40, -5, 7, 8], np.int64), np.array([100, 9, 4, 33], np.int64)
+    order = ngram_join.Order(hashes, counts, fragments=2)
+    values = np.array([1, 9, 7, -5, 8, 40])
+    assert order.places(values).tolist() == [0, 0, 1, 2, 3, 4]
+    assert order.fragment(values).tolist() == [0, 0, 0, 0, 0, 1]  # 40 alone has half of the frequency
+    order = ngram_join.Order(hashes, counts, total=4 * int(counts.sum()), fragments=4)
+    assert order.fragment(np.r_[values, -(2**62), 2**62 + 1]).tolist() == [1, 1, 3, 3, 3, 3, 0, 2]
+
+
+def test_prefixes_follow_the_order(spark):
+    order = spark.sparkContext.broadcast(ngram_join.Order(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    text = " ".join(f"w{i}" for i in range(24))
+    df = spark.createDataFrame([(text,), (text,), (None,)], "text string").coalesce(1)
+    values = ngram_join.sets_of(pa.array([text]))[0]
+    light = [r["token"] for r in ngram_join.postings(df, "text", order).collect()]
+    assert light == values.tolist()[: ngram_join.prefix_length(20)]
+    order = spark.sparkContext.broadcast(ngram_join.Order(values[:18].copy(), np.arange(2, 20)))
+    rows = ngram_join.postings(df, "text", order).collect()
+    assert [r["token"] for r in rows][:2] == values.tolist()[18:] and [r["pos"] for r in rows] == list(range(6))
+    assert [r["token"] for r in rows][2:] == values.tolist()[:4]
+
+
+def test_group_of_near_copies_makes_few_pairs(spark):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rnd.sample(range(200), rnd.randrange(1, 4)):
+            words[at] = f"v{i}-{at}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scanned = ngram_join.first_scan(df, "text", "doc_id")
+    order = spark.sparkContext.broadcast(ngram_join.global_order(scanned))
+    assert ngram_join.hub_pairs(ngram_join.shared_postings(ngram_join.postings(df, "text", order))).count() < 10 * len(rows)
+    assert {x for _, _, x in found(df)} == {0}

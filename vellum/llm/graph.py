@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import discard, release, written
 
 
-def components(links: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component: its smallest node) of every node in ``links`` (a, b: long). Each
     step is a grouped minimum and a join, written to the shared folder; a node with many
     neighbours is only a skewed join key, which Spark splits."""
     spark = links.sparkSession
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # larger neighbours of u go to the least of u and its neighbours
@@ -25,12 +25,11 @@ def components(links: DataFrame, label: str = "components", rounds: int = 60) ->
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u != v").distinct(), label)
+        done, edges = edges, written(small.where("u != v").distinct(), label)
+        discard(done)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(spark)
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
