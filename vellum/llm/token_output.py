@@ -13,7 +13,9 @@ names in the committed manifest count: a lost executor leaves at most an unused
 
 Words repeat, so each worker encodes a word once and joins the ids; that gives the
 library's ids for the whole text if the tokenizer splits at white space, which
-``splits_at_space`` says for the file used. Other tokenizers encode whole texts.
+``splits_at_space`` says for the file used. Other tokenizers encode whole texts. Words of printable
+ASCII are cut by the file's own pattern, and their parts given to the library's model, if the
+file's other steps leave such text alone but for its case (``ascii_steps``).
 
 Cases: null or empty texts have only the end id; equal keys are records side by side; an
 empty table gives no files; other columns of the input are not read.
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import col, fresh_path, pieces, raw_texts, written
 
 MAGIC = b"VELIDX01"
-MOST_CACHED, LONGEST_CACHED = 600_000, 96
+#: Words in each of the two generations of a worker's cache, and the bytes of the longest that is kept.
+MOST_CACHED, LONGEST_CACHED = 400_000, 96
 
 
 def masked(data: bytes) -> int:
@@ -88,16 +91,43 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def ascii_steps(spec: dict) -> tuple[bool, str] | None:
+    """(whether A-Z become a-z, pattern of the parts) if that is all the file does to printable ASCII before its BPE
+    model sees it, else None."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = norm.get("normalizers", [norm] if norm else [])
+    parts = pre.get("pretokenizers", [])
+    plain = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+    if any(x["type"] not in plain and not (x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+") for x in steps):
+        return None
+    if [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
+        return None
+    if parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or spec["model"].get("type", "BPE") != "BPE" or spec["model"].get("dropout"):
+        return None
+    return any(x["type"] == "Lowercase" for x in steps), parts[0]["pattern"]["Regex"]
+
+
 class Encoder:
     """Ids of texts as bytes. ``by_word``: words are encoded once and kept, up to a bound."""
 
     def __init__(self, tokenizer_path: str, by_word: bool) -> None:
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(tokenizer_path)
+        self.model = self.lib.model
         self.wide = self.lib.get_vocab_size() > 1 << 16
         self.dtype = "<u4" if self.wide else "<u2"
-        self.by_word, self.known = by_word, {}
+        self.by_word, self.known, self.older, self.parts = by_word, {}, {}, {}
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = None
+        if steps := ascii_steps(spec):
+            self.lower, self.cut = steps[0], regex.compile(steps[1] + "|\n")
+            added = "|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", []))
+            self.plain = regex.compile((f"(?!.*(?i:{added}))" if added else "").encode() + rb"[\x21-\x7e]+")
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 4096):
@@ -116,20 +146,43 @@ class Encoder:
             for lo, hi in zip([0, *ends], ends, strict=False):
                 yield ids[size * lo : size * hi]
 
+    def _encode_plain(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words of printable ASCII, by their parts."""
+        joined = b"\n".join(words + [b""]).decode()
+        if len(self.parts) > MOST_CACHED:
+            self.parts = {}
+        parts, tokenize, word = self.parts, self.model.tokenize, []
+        for p in self.cut.findall(joined.lower() if self.lower else joined):
+            if p == "\n":
+                yield b"".join(word)
+                word = []
+                continue
+            ids = parts.get(p)
+            if ids is None:
+                ids = np.array([t.id for t in tokenize(p)], self.dtype).tobytes()
+                if len(p) <= LONGEST_CACHED:
+                    parts[p] = ids
+            word.append(ids)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_word:
             return list(self._encode([(t or b"").decode() for t in texts]))
         split = [(t or b"").split() for t in texts]
-        here = set().union(*split)
-        new = [w for w in here if w not in self.known]
-        self.known.update(zip(new, self._encode_words([w.decode() for w in new]), strict=True))
+        missing = set().union(*split).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(missing - again)
+        plain = [w for w in new if self.plain.fullmatch(w)] if self.plain else []
+        rest = list(set(new).difference(plain)) if plain else new
+        self.known.update(zip(plain, self._encode_plain(plain), strict=True))
+        self.known.update(zip(rest, self._encode_words([w.decode() for w in rest]), strict=True))
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
-        if len(self.known) > MOST_CACHED:
-            self.known = {w: self.known[w] for w in here}
         for w in new:
             if len(w) > LONGEST_CACHED:
-                self.known.pop(w, None)
+                del self.known[w]
+        if len(self.known) > MOST_CACHED:
+            self.known, self.older = {}, self.known
         return out
 
 
