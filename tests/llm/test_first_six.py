@@ -42,8 +42,8 @@ def test_targets_stop_at_twice_the_size():
 def test_sainte_lague_is_by_highest_quotients():
     rnd = random.Random(1)
     for _ in range(50):
-        votes = [rnd.randint(1, 1000) for _ in range(rnd.randint(1, 12))]
-        seats = rnd.randint(0, 60)
+        votes = [rnd.choice([rnd.randint(1, 1000), rnd.random()]) for _ in range(rnd.randint(1, 120))]
+        seats = rnd.randint(0, 300)
         plain = [0] * len(votes)
         for _ in range(seats):
             i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * plain[i] + 1), -i))
@@ -51,6 +51,27 @@ def test_sainte_lague_is_by_highest_quotients():
         assert mixing.sainte_lague(votes, seats) == plain
 
 
+def test_many_small_parties():
+    assert mixing.sainte_lague([1000] + [0.6] * 100, 1060) == [960] + [1] * 100
+    assert mixing.sainte_lague([1, 1], 10, [2, 3]) == [2, 3] and mixing.sainte_lague([0, 0], 3) == [0, 0] and mixing.sainte_lague([], 3) == []
+
+
+def test_classes_of_equal_parties(spark):
+    rnd = random.Random(8)
+    for _ in range(40):
+        blocks = sorted(rnd.choice([3, 4, 9, 10, 27]) for _ in range(rnd.randint(1, 60)))
+        seats = rnd.randint(0, 2 * sum(blocks))
+        kinds = sorted(set(blocks))
+        base, extra = mixing.class_seats(kinds, [blocks.count(k) for k in kinds], seats)
+        got = [base[kinds.index(b)] + (blocks[:i].count(b) < extra[kinds.index(b)]) for i, b in enumerate(blocks)]
+        assert got == mixing.sainte_lague(blocks, seats)
+    rows = [(s, i, 10 * b, b, n) for s, n, own in (("a", 7, [1, 1, 1, 2]), (None, 5, [4, 3]), ("b", 0, [1])) for i, b in enumerate(own)]
+    df = spark.createDataFrame(rows, "source string, shard long, words long, blocks long, seats long")
+    got = {(r["source"], r["shard"]): r["quota"] for r in mixing.shard_quotas(df).collect()}
+    want = {("a", 0): 2, ("a", 1): 1, ("a", 2): 1, ("a", 3): 3, (None, 0): 3, (None, 1): 2, ("b", 0): 0}
+    assert got == want
+
+
 @pytest.mark.parametrize("shard_words", [1 << 20, 3000])
 def test_mix_comes_near_its_targets(spark, small, shard_words):
     docs = table(spark, small, "documents")
@@ -133,12 +154,27 @@ def test_dedup_of_odd_rows(spark):
     assert exact_dedup.dedup(empty(spark)).count() == 0
 
 
-def test_equal_fingerprints_of_other_texts_are_split(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "ab"), (2, "a b"), (3, "cd"), (4, "dc")], "doc_id long, text string")
-    marks = exact_dedup.fingerprints(df).select("key", F.lit(7).cast("long").alias("fp1"), F.lit(7).cast("long").alias("fp2"), "bytes")
-    groups = marks.groupBy("fp1", "fp2", "bytes").count()
-    real = exact_dedup.fingerprints(df).groupBy("fp1", "fp2", "bytes").count()
-    assert exact_dedup.conflicts(df, real).count() == 0 and groups.count() == 1
+def test_equal_fingerprints_of_other_texts_are_split(spark):
+    """At point 0 a text's last byte is its fingerprint, so that most texts of one length collide."""
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 6))) + "a") for i in range(300)] + [(None, "ab a"), (None, "a")]
+    rows += [(1000 + i, "x" * (exact_dedup.CHUNK + 50) + "yz"[i % 2] + "x") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = exact_dedup.fingerprints(df, points=(0, 0)).groupBy("fp1", "fp2", "bytes").count()
+    assert exact_dedup.conflicts(df, groups, points=(0, 0)).count() > 3
+    got = sorted([(r["key"], r["keep_key"], r["group_size"], r["sha"]) for r in exact_dedup.dedup(df, points=(0, 0)).collect()], key=str)
+    assert got == by_hand(rows)
+
+
+def test_huge_texts_are_hashed_by_segments(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("aé \n中") for _ in range(n)) for n in (1, 40, 41, 99, 100, 101, 350)] + [" " * 60, None, ""]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(3, texts[3]), (None, texts[4]), (50, (texts[6]).replace(" ", "\t"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain, cut = ([tuple(r) for r in exact_dedup.fingerprints(df, huge=h, segment=9).collect()] for h in (1 << 20, 40))
+    assert sorted(plain, key=str) == sorted(cut, key=str)
+    got = sorted([(r["key"], r["keep_key"], r["group_size"], r["sha"]) for r in exact_dedup.dedup(df, huge=40, segment=9).collect()], key=str)
+    assert got == by_hand(rows)
 
 
 # token output
@@ -277,9 +313,43 @@ def test_long_texts_are_scored_whole(spark, monkeypatch):
     df = spark.createDataFrame([(1, "abc abd " * 50, "x"), (2, "xyz xyw " * 50, "y")], "doc_id long, text string, lang string")
     model = language_id.fit(df)
     text = ("abc " * 300) + ("xyz " * 250)
-    whole = model.scores(text)
+    whole = model.scores(["abd", text, "", "x"])
     monkeypatch.setattr(language_id, "STEP", 101)
-    assert np.allclose(model.scores(text), whole)
+    assert np.allclose(model.scores(["abd", text, "", "x"]), whole)
+
+
+def test_scores_are_those_of_plain_naive_bayes(spark):
+    rows = [(1, "Ab c", "x"), (2, "abd abd", "x"), (3, "xyz é", "y"), (4, None, "y"), (5, "no label", None), (6, "b", "z")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), smoothing=0.5)
+    assert model.langs == ("x", "y", "z")
+
+    def buckets(text):
+        return Counter(b for n in (1, 2, 3) for i in range(len(text) - n + 1) for b in language_id.grams(language_id.points_of(text[i : i + n]))[-1:].tolist())
+
+    texts = ["abc xyz", "É", "b"]
+    for k, x in enumerate(model.langs):
+        own = sum((buckets(t) for _, t, y in rows if y == x and t), Counter())
+        n = sum(own.values()) + 0.5 * language_id.BUCKETS
+        prior = sum(y == x and t is not None for _, t, y in rows) / 4
+        for t, s in zip(texts, model.scores(texts)):
+            assert s[k] == pytest.approx(np.log(prior) + sum(c * np.log((own[b] + 0.5) / n) for b, c in buckets(t).items()), rel=1e-5)
+
+
+def test_texts_without_letters_and_ties(spark):
+    rows = [(1, "abc", "q"), (2, "abc", "p")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = model.predict(["² ½ Ⅷ ① 12 _", "ª", "abc", "", None, "中"])
+    assert [x for x, _ in found] == ["und", "p", "p", "und", "und", "p"]  # equal scores: the first in order
+    assert found[0][1] == 0.0 and found[2][1] == pytest.approx(0.5)
+
+
+def test_kept_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "abc " * 30, "x", "k", "s")], "doc_id long, text string, lang_pred string, kept string, Score string")
+    model = language_id.fit(df, lang="kept")
+    out = language_id.identify(df, model, keep=("doc_id", "lang_pred", "Score"))
+    assert out.columns == ["doc_id", "lang_pred_", "Score_", "lang_pred", "score"] and out.first()["lang_pred_"] == "x"
+    assert quality_rules.rate(df, keep=("kept",)).first()["kept_"] == "k"
+    assert mixing.materialise(df, mixing.mix(df, source="kept"), keep=("text",)).columns == ["key", "text_", "text"]
 
 
 @pytest.mark.parametrize("name", ["op3_chat_format", "op7_exact_dedup"])

@@ -55,6 +55,15 @@ def test_near_duplicates(stages):
     assert not Counter((r["doc_id"], r["text"]) for r in stages["ngram_join"].collect()) - Counter(rows)
 
 
+def test_null_ids_and_empty_tables(spark, small):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text, "en", "a", 1), (5, text + " x", "en", "a", 1), (3, text + " y", "en", "b", 1), (None, "alone here", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs.withColumn("row", docs["lang"]), small).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == [(3, text + " y"), (None, "alone here")]
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0
+
+
 def test_mix(spark, stages):
     docs = {r["doc_id"]: r for r in stages["ngram_join"].collect()}
     plan = {r["key"]: r for r in mixing.mix(stages["ngram_join"]).collect()}

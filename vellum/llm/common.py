@@ -6,6 +6,7 @@ bytes that is exactly ``bytes.split()``, which the Python workers use.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +27,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def out_names(keep: tuple[str, ...], taken: tuple[str, ...]) -> list[str]:
+    """Names of kept columns beside those of a result: one that clashes, in any case, gets ``_`` put after it until it doesn't."""
+    used, out = {x.lower() for x in taken}, []
+    for name in keep:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -151,6 +163,9 @@ def flat_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer held."""
+    """Lets Spark delete the shuffle files of plans that are no longer held, and gives the driver's free memory back."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

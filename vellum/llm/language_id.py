@@ -2,30 +2,32 @@
 
 Training counts hashed 1-, 2- and 3-grams of lower-cased code points for each language
 on a bounded sample (``per_lang`` documents of each language, whichever have the
-smallest seeded hash of their id). The matrix of log probabilities, languages x
-``BUCKETS``, has at most ``max_langs`` rows and is broadcast; scoring gathers its
-columns for a batch of texts at a time and sums them by text in numpy.
+smallest seeded hash of their id); the prior is each language's share of all labelled rows. The
+matrix of log probabilities, ``BUCKETS`` x languages, is broadcast. A batch of texts is one sparse
+matrix of n-gram counts, kept as the buckets of its n-grams, text by text; its product
+with the matrix gathers rows and sums them by text in numpy.
 
 Cases: a null text, an empty one or one without a letter gets ``und`` and score 0; ties
 go to the language first in code point order; without labelled rows every text is
-``und``; repeated rows are scored one by one; other columns of the input are not read.
+``und``; repeated rows are scored one by one; a text of any length is scored whole, in windows; kept
+columns that clash with a result's are renamed by ``out_names``; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, pieces
+from .common import arrow_rows, col, out_names, pieces, written
 
 BITS = 16
 BUCKETS = 1 << BITS
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Odd multipliers, one for each place in an n-gram.
 PLACES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 STEP = 1 << 18
@@ -55,42 +57,48 @@ class Model:
     weights: np.ndarray
     prior: np.ndarray
 
-    def scores(self, text: str) -> np.ndarray:
-        """Log of prior and likelihood of the whole text, for each language."""
-        points, total = points_of(text), self.prior.copy()
-        for at in range(0, len(points), STEP):  # windows overlap, so that no n-gram is lost at a cut
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log of prior and likelihood of whole texts, texts x langs."""
+        each = [points_of(t) for t in texts]
+        points = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        ends = np.cumsum([len(x) for x in each])
+        total = np.repeat(self.prior[None, :], len(each), axis=0)
+        for at in range(0, len(points), STEP):  # n-grams that start in this window
             part = points[at : at + STEP + len(PLACES) - 1]
-            idx = grams(part)
-            total += self.weights[idx].sum(axis=0, dtype=np.float64)
-            if len(part) > STEP:  # those that start in the overlap come again with the next window
-                total -= self.weights[grams(part[STEP:])].sum(axis=0, dtype=np.float64)
+            start = np.arange(at, min(at + STEP, len(points)))
+            text = np.searchsorted(ends, start, side="right")
+            found, lo = grams(part), 0
+            for n in range(1, len(PLACES) + 1):
+                size = max(0, len(part) - n + 1)
+                own = np.flatnonzero(start[: min(size, len(start))] + n <= ends[text[: min(size, len(start))]])
+                if len(own):
+                    run = np.flatnonzero(np.r_[True, text[own[1:]] != text[own[:-1]]])
+                    total[text[own[run]]] += np.add.reduceat(self.weights[found[lo : lo + size][own]], run, axis=0, dtype=np.float64)
+                lo += size
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not LETTER.search(text):
-            return "und", 0.0
-        s = self.scores(text)
-        p = np.exp(s - s.max())
-        k = int(s.argmax())
-        return self.langs[k], float(p[k] / p.sum())
-
-
-def fit(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    per_lang: int = 1500, max_langs: int = 256, smoothing: float = 0.1, seed: int = 17,
-) -> Model:
-    """Learns from at most about ``per_lang`` documents of each of the ``max_langs`` most
-    frequent languages; rows with a null text or language teach nothing."""
-    rows = labelled.select(col(key).cast("string").alias("k"), col(text).alias("t"), col(lang).alias("l"))
-    rows = rows.where("t is not null and l is not null")
-    counts = labelled.where(col(lang).isNotNull()).groupBy(col(lang).alias("l")).count()
-    most = counts.orderBy(F.desc("count"), "l").limit(max_langs).collect()
-    if not most:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [("und", 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if self.langs else []
+        if some:
+            s = self.scores([texts[i] for i in some])
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            best = s.argmax(axis=1)
+            for i, k, x in zip(some, best.tolist(), p[np.arange(len(some)), best] / p.sum(axis=1), strict=True):
+                out[i] = (self.langs[k], float(x))
+        return out
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, smoothing: float = 0.1, seed: int = 17) -> Model:
+    """Learns every language of ``labelled``, from at most about ``per_lang`` documents of each; rows with a null text or language
+    teach nothing. The counts that come to the driver are at most ``BUCKETS`` for each language."""
+    rows = labelled.select(col(key).cast("string").alias("k"), col(text).alias("t"), col(lang).alias("l")).where("t is not null and l is not null")
+    counts = written(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    many = {r["l"]: r["n"] for r in counts.collect()}
+    if not many:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = {r["l"]: min(1.0, per_lang / r["count"]) for r in most}
     unit = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("k", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("l"))
-    rows = rows.where(F.col("l").isin(*share) & (unit < limit))
+    chosen = rows.withColumn("u", unit).join(F.broadcast(counts), "l").where(F.col("u") * F.col("n") < per_lang)
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
@@ -99,40 +107,38 @@ def fit(
                 into = seen.setdefault(x, np.zeros(BUCKETS, np.int64))
                 points = points_of(t)
                 for at in range(0, len(points), STEP):
-                    into += np.bincount(grams(points[at : at + STEP]), minlength=BUCKETS)
+                    found = grams(points[at : at + STEP + len(PLACES) - 1])
+                    into += np.bincount(found, minlength=BUCKETS)
+                    if len(points) > at + STEP:  # those that start beyond come again with the next window
+                        into -= np.bincount(grams(points[at + STEP : at + STEP + len(PLACES) - 1]), minlength=BUCKETS)
         for x, into in seen.items():
             (idx,) = into.nonzero()
-            yield pa.RecordBatch.from_pydict(
-                {"l": pa.array([x]), "idx": pa.array([idx.astype("<i4").tobytes()], pa.binary()), "n": pa.array([into[idx].astype("<i8").tobytes()], pa.binary())}
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(idx)), pa.array(idx.astype(np.int32)), pa.array(into[idx])], names=["l", "idx", "n"])
 
-    langs = sorted(share)
+    langs = sorted(many)
     table = np.zeros((len(langs), BUCKETS), np.float64)
-    at = {x: i for i, x in enumerate(langs)}
-    for r in rows.select("t", "l").coalesce(16).mapInArrow(count, "l string, idx binary, n binary").toLocalIterator():
-        table[at[r["l"]], np.frombuffer(r["idx"], "<i4")] += np.frombuffer(r["n"], "<i8")
+    got = chosen.select("t", "l").mapInArrow(count, "l string, idx int, n long").groupBy("l", "idx").agg(F.sum("n").alias("n")).toArrow()
+    if got.num_rows:
+        at = {x: i for i, x in enumerate(langs)}
+        table[[at[x] for x in got["l"].to_pylist()], got["idx"].to_numpy()] = got["n"].to_numpy()
     table += smoothing
     logs = np.log(table / table.sum(axis=1, keepdims=True))
-    return Model(tuple(langs), np.ascontiguousarray(logs.T.astype(np.float32)), np.zeros(len(langs)))
+    prior = np.log(np.array([many[x] for x in langs]) / sum(many.values()))
+    return Model(tuple(langs), np.ascontiguousarray(logs.T.astype(np.float32)), prior)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of every row, with lang_pred and score. The prior is uniform."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    n = len(keep)
-    given = df.select(*[col(c) for c in keep], col(text).alias("_text"))
+    """The ``keep`` columns of every row, with lang_pred and score (the posterior of lang_pred)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    n, named = len(keep), out_names(keep, ("lang_pred", "score"))
+    given = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
 
     def rows(batch: pa.RecordBatch):
-        model = shared.value
-        for part in pieces(batch, n):
-            found = [model.predict(t) for t in part.column(n).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:n])
+        for part in pieces(batch, n, 1 << 20):
+            found = shared.value.predict(part.column(n).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*named, "lang_pred", "score"])
+
+    schema = ", ".join(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(named, given.schema.fields, strict=False))
     return arrow_rows(given, rows, f"{schema}, lang_pred string, score double")
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.folds import fold
 from . import bloom
-from .common import arrow_rows, col, pieces, raw_texts, release, written
+from .common import arrow_rows, col, out_names, pieces, raw_texts, release, written
 
 DEPTH, ALIKE, LEADERS, LEAST_DOCS, LEAST_WORDS = 3, 70, 3, 5, 1
 LAST = (1 << 63) - 1
@@ -187,11 +187,11 @@ def recurring_lines(df: DataFrame, text: str = "text", key: str = "doc_id", leas
 
 
 def drop_lines(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), least_docs: int = LEAST_DOCS) -> DataFrame:
-    """One row for each row: key, the ``keep`` columns, text (without dropped lines), n_lines, n_dropped."""
+    """One row for each row: key, the ``keep`` columns (named as ``out_names`` says), text (without dropped lines), n_lines, n_dropped."""
     texts = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"), col(key).alias("_key"))
     docs = texts.withColumn("doc", F.coalesce(F.col("_key").cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64("_text"))
     both = docs.join(recurring_lines(df, text, key, least_docs), ["doc", "mark"], "left")
-    n = len(keep)
+    n, names = len(keep), out_names(keep, ("key", "text", "n_lines", "n_dropped"))
     both = both.select("_key", *[f"_keep{i}" for i in range(n)], "_text", "gone")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -205,8 +205,8 @@ def drop_lines(df: DataFrame, text: str = "text", key: str = "doc_id", keep: tup
                     raw = b"\n".join(kept) if any(x.split() for x in kept) else b""
                 out.append((None if raw is None else raw.decode(), len(lines), len(gone or ())))
             t, a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], pa.array(t, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", *keep, "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], pa.array(t, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", *names, "text", "n_lines", "n_dropped"])
 
     kinds = [both.schema[c].dataType.simpleString() for c in ("_key", *[f"_keep{i}" for i in range(n)])]
-    schema = ", ".join(f"`{c}` {k}" for c, k in zip(("key", *keep), kinds, strict=True))
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(("key", *names), kinds, strict=True))
     return arrow_rows(both, rows, f"{schema}, text string, n_lines long, n_dropped long")

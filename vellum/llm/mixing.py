@@ -9,12 +9,13 @@ of a source, by the highest quotients votes / (2 * seats + 1). A shard with q se
 blocks takes every block q div n times, and q mod n blocks, those first in seeded
 order, once more. Hot sources only have more shards.
 
-Only a row for each source comes to the driver, at most ``MAX_SOURCES``; more is an error.
+Only a row for each source comes to the driver: sources are ranked against each other, and weighed by place.
 
 Cases: null texts and texts without words have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; equal keys lie side by side in a shard and
-are documents of their own; an empty table gives no rows; equal quotients go to the shard with
-the smaller number or the source first in order; other columns of the input are not read.
+are documents of their own; documents with a null key are dealt by their texts; an empty table gives
+no rows; equal quotients go to the source first in order, the smaller shard, then the smaller number; a text
+of any length is counted whole; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from math import ceil, floor
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WORD, arrow_rows, col, pieces, raw_texts, written
+from .common import WORD, arrow_rows, col, out_names, pieces, raw_texts, written
 
-SHARD_WORDS, BLOCK_WORDS, MAX_SOURCES = 1 << 20, 128, 200_000
+SHARD_WORDS, BLOCK_WORDS = 1 << 20, 128
 SPANS = re.compile(WORD.encode())
 
 
@@ -53,15 +55,24 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, repeat
 
 
 def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None = None) -> list[int]:
-    """Seats by the highest quotients votes / (2 * seats + 1), from a rounded start."""
-    total = sum(votes)
-    if total <= 0:
-        return [0] * len(votes)
+    """Seats by the highest quotients votes / (2 * seats + 1). Seats whose quotients lie above a divisor, found by halving, are
+    given at once; the rest go one by one."""
     most = most or [seats] * len(votes)
-    out = [min(m, max(0, floor(v * seats / total + 0.5) - 1)) for v, m in zip(votes, most, strict=True)]
-    while sum(out) > seats:  # can't be, unless many votes round up from nothing
-        i = min((i for i, s in enumerate(out) if s), key=lambda i: votes[i] / (2 * out[i] - 1))
-        out[i] -= 1
+
+    def above(divisor: float) -> list[int]:
+        return [min(m, floor((v / divisor + 1) / 2)) if v > 0 else 0 for v, m in zip(votes, most, strict=True)]
+
+    top = max(votes, default=0.0)
+    if top <= 0:
+        return [0] * len(votes)
+    lo, hi = 0.0, top * 1.001  # at hi no seat is given
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        if mid <= 0 or sum(above(mid)) > seats:
+            lo = mid
+        else:
+            hi = mid
+    out = above(hi * (1 + 1e-12))
     heap = [(-v / (2 * s + 1), i) for i, (v, s) in enumerate(zip(votes, out, strict=True)) if s < most[i] and v > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(out)):
@@ -74,6 +85,35 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return out
 
 
+def class_seats(votes: Sequence[int], many: Sequence[int], seats: int) -> tuple[list[int], list[int]]:
+    """Sainte-Laguë for classes of ``many`` parties with equal votes: seats of each party of a class, and how many of its parties
+    get one more. Of equal quotients those of the smaller votes come first."""
+
+    def above(divisor: float) -> list[int]:
+        return [floor((v / divisor + 1) / 2) for v in votes]
+
+    lo, hi = 0.0, max(votes) * 1.001
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        if mid <= 0 or sum(m * s for m, s in zip(many, above(mid), strict=True)) > seats:
+            lo = mid
+        else:
+            hi = mid
+    base = above(hi * (1 + 1e-12))
+    extra, left = [0] * len(votes), seats - sum(m * s for m, s in zip(many, base, strict=True))
+    heap = [(-v / (2 * s + 1), v, i) for i, (v, s) in enumerate(zip(votes, base, strict=True))]
+    heapq.heapify(heap)
+    while left > 0:
+        _, v, i = heapq.heappop(heap)
+        if left < many[i]:
+            extra[i] = left
+            break
+        left -= many[i]
+        base[i] += 1
+        heapq.heappush(heap, (-v / (2 * base[i] + 1), v, i))
+    return base, extra
+
+
 def _unit(seed: int, *parts: Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
@@ -92,9 +132,7 @@ def mix(
         ),
         "mix-sizes",
     )
-    found = docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = docs.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, repeat)
@@ -104,7 +142,7 @@ def mix(
         "source string, source_size long, target double, shards long",
     )
     docs = docs.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    docs = docs.withColumn("shard", F.pmod(_unit(seed, F.col("key")), F.col("shards")))
+    docs = docs.withColumn("shard", F.pmod(_unit(seed, F.col("key"), F.when(F.col("key").isNull(), F.col("text_hash"))), F.col("shards")))
     full = docs.where("size > 0")
 
     cut = written(
@@ -116,7 +154,7 @@ def mix(
     blocks = [have.get(r["source"], 0) for r in found]
     votes = [t * b / s if s else 0.0 for t, b, s in zip(goal, blocks, sizes, strict=True)]
     seats = sainte_lague(votes, floor(sum(votes) + 0.5), [repeat * b for b in blocks])
-    quota = spark.createDataFrame([(r["source"], n, b) for r, n, b in zip(found, seats, blocks, strict=True)], "s string, seats long, votes long")
+    quota = spark.createDataFrame([(r["source"], n) for r, n in zip(found, seats, strict=True)], "s string, seats long")
     chosen = shard_quotas(cut.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
 
     # blocks of a shard that are taken once more than the others
@@ -154,26 +192,29 @@ def _same(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shard_quotas(cut: DataFrame) -> DataFrame:
-    """Adds quota: the seats of each shard of a source (seats, votes: of the source). A shard
-    starts from its rounded share; the highest quotients add what is missing, the lowest
-    give back what is too much."""
-    by = Window.partitionBy("source")
-    cut = cut.withColumn("base", F.floor(F.col("blocks") * F.col("seats") / F.col("votes") + 0.5).cast("long"))
-    cut = cut.withColumn("missing", F.col("seats") - F.sum("base").over(by))
-    steps = cut.where("missing != 0").withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("missing > 0 or base > m")
-    quotient = F.when(F.col("missing") > 0, -F.col("blocks") / (2 * (F.col("base") + F.col("m")) + 1)).otherwise(F.col("blocks") / (2 * (F.col("base") - F.col("m")) - 1))
-    steps = steps.withColumn("rank", F.row_number().over(by.orderBy(quotient, "shard", "m"))).where(F.col("rank") <= F.abs("missing"))
-    change = steps.groupBy("source", "shard").agg(F.sum(F.signum("missing")).cast("long").alias("change"))
-    change = change.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "change")
-    joined = cut.join(change, [F.col("source").eqNullSafe(F.col("_source")), F.col("shard") == F.col("_shard")], "left")
-    return joined.select("source", "shard", "words", "blocks", (F.col("base") + F.coalesce("change", F.lit(0))).alias("quota"))
+    """Adds quota: the seats of each shard of a source (seats: of the source). Shards with equal numbers of blocks are one class, as
+    they have equal quotients, so that a source is a row for each such number, whatever its shards. Of equal quotients those
+    of smaller shards come first, then those of smaller numbers."""
+    classes = cut.groupBy("source", "blocks").agg(F.count(F.lit(1)).alias("many"), F.first("seats").alias("seats"))
+    schema = StructType([StructField("source", StringType()), *[StructField(c, LongType()) for c in ("blocks", "base", "extra")]])
+
+    def quotas(rows):
+        rows = rows.sort_values("blocks")
+        base, extra = class_seats(rows["blocks"].tolist(), rows["many"].tolist(), int(rows["seats"].iloc[0]))
+        return rows.assign(base=base, extra=extra)[["source", "blocks", "base", "extra"]]
+
+    found = classes.groupBy("source").applyInPandas(quotas, schema).select(F.col("source").alias("_source"), F.col("blocks").alias("_blocks"), "base", "extra")
+    both = cut.join(found, F.col("source").eqNullSafe(F.col("_source")) & (F.col("blocks") == F.col("_blocks"))).drop("_source", "_blocks")
+    rank = Window.partitionBy("source", "blocks").orderBy("shard")
+    once = both.where("extra > 0").withColumn("rank", F.row_number().over(rank)).select("source", "shard", "words", "blocks", (F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).alias("quota"))
+    return once.unionByName(both.where("extra = 0").select("source", "shard", "words", "blocks", F.col("base").alias("quota")))
 
 
 def materialise(df: DataFrame, plan: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The mix itself: key, the ``keep`` columns and text, a row for each time that words of
+    """The mix itself: key, the ``keep`` columns (named as ``out_names`` says) and text, a row for each time that words of
     a row of ``df`` are taken; white space between words that stay together is kept. Rows
     equal in key and text share one plan, that of the first in order of pieces."""
-    n = len(keep)
+    n, named = len(keep), out_names(keep, ("key", "text"))
     once = plan.where("taken > 0").groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.min("pieces").alias("pieces"))
     given = df.select(col(key).alias("_key"), *[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
     both = given.join(written(once, "mix-plan"), F.col("_key").eqNullSafe(F.col("k")) & (F.xxhash64("_text") == F.col("h"))).select("_key", *[f"_keep{i}" for i in range(n)], "_text", "pieces")
@@ -193,8 +234,8 @@ def materialise(df: DataFrame, plan: DataFrame, text: str = "text", key: str = "
                             end, last = hi, p["hi"]
                     at.append(i)
                     out.append(b"".join(parts).decode())
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in part.columns[: n + 1]], pa.array(out, pa.string())], names=["key", *keep, "text"])
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int64())) for c in part.columns[: n + 1]], pa.array(out, pa.string())], names=["key", *named, "text"])
 
     kinds = [both.schema[c].dataType.simpleString() for c in ("_key", *[f"_keep{i}" for i in range(n)])]
-    schema = ", ".join(f"`{c}` {k}" for c, k in zip(("key", *keep), kinds, strict=True))
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(("key", *named), kinds, strict=True))
     return arrow_rows(both, rows, f"{schema}, text string")

@@ -15,7 +15,7 @@ Decoding joins the pieces, bytes included, and drops the dummy prefix.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows are
 encoded each; an empty table gives no rows; texts and words of any length are taken
-whole; other columns of the input are not read.
+whole; kept columns that clash with a result's are renamed by ``out_names``; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, pieces, written
+from .common import arrow_rows, col, out_names, pieces, written
 
 SPACE = "▁"
 MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 400_000
@@ -273,8 +273,8 @@ class Encoder:
 
 def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], row, fields, schema: str, most: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((model, dictionary(df, model, text, most)))
-    n = len(keep)
-    given = df.select(*[col(c) for c in keep], col(text).alias("_text"))
+    n, named = len(keep), out_names(keep, tuple(k for k, _ in fields))
+    given = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
     cache: list[Encoder] = []
 
     def rows(batch: pa.RecordBatch):
@@ -283,9 +283,9 @@ def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], row,
         for part in pieces(batch, n):
             texts = part.column(n).to_pylist()
             out = [row(cache[0].model, t, np.frombuffer(ids, cache[0].model.dtype)) for t, ids in zip(texts, cache[0].encode(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], *[pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]], names=[*keep, *[k for k, _ in fields]])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *[pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]], names=[*named, *[k for k, _ in fields]])
 
-    given_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:n])
+    given_schema = ", ".join(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(named, given.schema.fields, strict=False))
     return arrow_rows(given, rows, f"{given_schema}, {schema}")
 
 
@@ -306,12 +306,12 @@ def digests(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 def decode(df: DataFrame, model: Model, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row, with the text of its ids; null ids give the empty text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    n = len(keep)
-    given = df.select(*[col(c) for c in keep], col(ids).cast("array<int>").alias("_ids"))
+    n, named = len(keep), out_names(keep, ("text",))
+    given = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(ids).cast("array<int>").alias("_ids"))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pa.array([shared.value.decode(x or []) for x in batch.column(n).to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns[:n], texts], names=[*keep, "text"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], texts], names=[*named, "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:n])
+    schema = ", ".join(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(named, given.schema.fields, strict=False))
     return arrow_rows(given, rows, f"{schema}, text string")

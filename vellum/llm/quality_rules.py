@@ -15,7 +15,7 @@ the base rules allow repeats ``MAX_REPEAT`` percent of the words, of which a pas
 is at most half.
 
 Cases: a null or empty text has no words and fails; repeated rows are judged one by
-one; a text of any length is judged whole; other columns of the input are not read.
+one; a text of any length is judged whole; kept columns that clash with a result's are renamed by ``out_names``; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SPACE_BYTES, arrow_rows, col, pieces, raw_texts
+from .common import SPACE_BYTES, arrow_rows, col, out_names, pieces, raw_texts
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
@@ -122,8 +122,8 @@ def judge(m: tuple[int, ...]) -> tuple[bool, bool]:
 
 def rate(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of every row with COUNTS, base_failed and kept."""
-    n = len(keep)
-    given = df.select(*[col(c) for c in keep], col(text).alias("_text"))
+    n, named = len(keep), out_names(keep, (*COUNTS, "base_failed", "kept"))
+    given = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
 
     def rows(batch: pa.RecordBatch):
         for part in pieces(batch, n, 2 << 20):
@@ -131,8 +131,8 @@ def rate(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
             ruled = [judge(m) for m in found]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:n], *[pa.array(x, pa.int64()) for x in zip(*found, strict=True)], *[pa.array(x) for x in zip(*ruled, strict=True)]],
-                names=[*keep, *COUNTS, "base_failed", "kept"],
+                names=[*named, *COUNTS, "base_failed", "kept"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:n])
+    schema = ", ".join(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(named, given.schema.fields, strict=False))
     return arrow_rows(given, rows, f"{schema}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean")
