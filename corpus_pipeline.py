@@ -8,7 +8,10 @@
    twice, in a second row of the document.
 5. SentencePiece encoding: ids of every text that is left.
 
-Documents without a doc_id pass through as any other; of repeated rows one stays from stage 3 on.
+Cases: documents without a doc_id pass through as any other, and of a component with others one of the others
+stays; of repeated rows one stays from stage 3 on; null and empty texts go with stage 1; texts are taken whole,
+whatever their length; columns beside those of documents are dropped, whatever their names; an empty
+table gives empty tables.
 """
 
 from __future__ import annotations
@@ -40,8 +43,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets, not ids, tell what stays, so that rows may share a doc_id: of the rows with the
-    smallest doc_id of a component, the first text stays."""
-    named = ngram_join.join_components(docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h"))), key="_row")
+    smallest doc_id of a component, the first text stays. A null doc_id comes after all others."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
+    named = ngram_join.join_components(docs.select(row.alias("row"), "text"), key="row")
     keep = written(named.where(F.col("key").eqNullSafe(F.col("component")) | (F.col("n_shingles") == 0)).select("key.doc_id", "key.h").distinct(), "stays")
     stays = docs.withColumn("h", F.xxhash64("text"))
     stays = stays.join(keep.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
