@@ -5,6 +5,7 @@ runs in Arrow batches with the standard library's parser."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -99,18 +100,31 @@ ATTRIBUTES = frozenset("href src alt title id class lang colspan rowspan dir epu
 
 
 class _Units(HTMLParser):
-    """Cuts a document into a skeleton with numbered slots and the texts, inline tags included, that go into them."""
+    """Cuts a document into a skeleton with numbered slots and the texts, inline tags included, that go into them. Every token
+    stands for the source from its own start to that of the next, so that nothing is written anew."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=False)
         self.skeleton: list[str] = []
         self.units: list[str] = []
-        self.run: list[str] = []
         self.skip = 0
-
-    def flush(self) -> None:
-        whole = "".join(self.run)
-        self.run = []
+        self.line_starts = [0, *(i + 1 for i, ch in enumerate(html) if ch == "\n")]
+        self.tokens: list[tuple[int, bool]] = []  # start, and whether it belongs to a run of text
+        self.feed(html)
+        self.close()
+        run: list[str] = []
+        self.tokens = [(0, False), *self.tokens] if not self.tokens or self.tokens[0][0] else self.tokens
+        ends = [at for at, _ in self.tokens[1:]] + [len(html)]
+        for (at, inline), end in zip(self.tokens, ends, strict=True):
+            if inline:
+                run.append(html[at:end])
+            else:
+                self.flush("".join(run))
+                self.skeleton.append(html[at:end].replace("\x00", "\x00\x00"))
+                run = []
+        self.flush("".join(run))
+
+    def flush(self, whole: str) -> None:
         if not _has_text(whole):
             self.skeleton.append(whole.replace("\x00", "\x00\x00"))
             return
@@ -121,43 +135,55 @@ class _Units(HTMLParser):
         self.skeleton.append(whole[at + len(body) :].replace("\x00", "\x00\x00"))
         self.units.append(body)
 
-    def raw(self, text: str, inline: bool) -> None:
-        if inline and not self.skip:
-            self.run.append(text)
-        else:
-            self.flush()
-            self.skeleton.append(text.replace("\x00", "\x00\x00"))
+    def token(self, inline: bool) -> None:
+        line, column = self.getpos()
+        at = self.line_starts[line - 1] + column
+        if not self.tokens or at > self.tokens[-1][0]:
+            self.tokens.append((at, inline and not self.skip))
 
     def handle_starttag(self, tag, attrs):
-        self.raw(self.get_starttag_text(), tag in INLINE)
+        self.token(tag in INLINE)
         if tag in DROPPED and tag not in VOID:
             self.skip += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.raw(self.get_starttag_text(), tag in INLINE)
+        self.token(tag in INLINE)
 
     def handle_endtag(self, tag):
         if tag in DROPPED and self.skip:
             self.skip -= 1
-        self.raw(f"</{tag}>", tag in INLINE)
+        self.token(tag in INLINE)
 
     def handle_data(self, data):
-        self.raw(data, True)
+        self.token(True)
 
     def handle_entityref(self, name):
-        self.raw(f"&{name};", True)
+        self.token(True)
 
     def handle_charref(self, name):
-        self.raw(f"&#{name};", True)
+        self.token(True)
 
     def handle_comment(self, data):
-        self.raw(f"<!--{data}-->", False)
+        self.token(False)
 
     def handle_decl(self, decl):
-        self.raw(f"<!{decl}>", False)
+        self.token(False)
 
     def handle_pi(self, data):
-        self.raw(f"<?{data}>", False)
+        self.token(False)
+
+    def unknown_decl(self, data):
+        self.token(False)
+
+
+def one_line(unit: str) -> str:
+    """A unit without line breaks: they become ``&#10;`` and ``&#13;``, and references that look like these get one more zero."""
+    return re.sub(r"&#(0*1[03]);", r"&#0\1;", unit).replace("\n", "&#10;").replace("\r", "&#13;")
+
+
+def many_lines(line: str) -> str:
+    """The unit that ``one_line`` made a line of."""
+    return re.sub(r"&#(0*)(1[03]);", lambda m: f"&#{m[1][1:]}{m[2]};" if m[1] else chr(int(m[2])), line)
 
 
 def _has_text(s: str) -> bool:
@@ -174,12 +200,12 @@ def _has_text(s: str) -> bool:
 
 
 def compressed_one(html: str | None) -> tuple[str, list[str]]:
-    """(skeleton, units) of a document; a unit is one line, its line breaks written as ``&#10;``."""
-    parser = _Units()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return "".join(parser.skeleton), [u.replace("\n", "&#10;") for u in parser.units]
+    """(skeleton, units) of a document; a unit is one line, as ``one_line`` says. What the parser gives up on is all skeleton."""
+    try:
+        parser = _Units(html or "")
+    except AssertionError:
+        return html.replace("\x00", "\x00\x00"), []
+    return "".join(parser.skeleton), [one_line(u) for u in parser.units]
 
 
 def decompressed_one(skeleton: str, units: list[str]) -> str:
@@ -197,7 +223,7 @@ def decompressed_one(skeleton: str, units: list[str]) -> str:
             i += 2
         else:
             j = skeleton.index("\x01", i)
-            out.append(units[int(skeleton[i + 1 : j])].replace("&#10;", "\n"))
+            out.append(many_lines(units[int(skeleton[i + 1 : j])]))
             i = j + 1
     return "".join(out)
 
