@@ -66,14 +66,25 @@ def _longer(texts: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def contained(texts: DataFrame, passages: DataFrame, anchor: int = 5) -> DataFrame:
-    """(unit, item) where a text contains a passage (item, text) literally. Candidates share the passage's first ``anchor`` words, or
-    all of a shorter one, found by equi-join; the literal test follows on those."""
-    ws = F.split("text", r"[ \n]+")
-    own = passages.select("item", F.col("text").alias("passage"), F.array_join(F.slice(ws, 1, anchor), " ").alias("gram"), F.least(F.lit(anchor), F.size(ws)).alias("n"))
+    """(unit, item) where a text contains a passage (item, text) literally, wherever it begins or ends. Candidates share words inside the
+    passage, which are whole words of a text that contains it: the second to at most the ``anchor + 1``th, found by equi-join.
+    Passages of less than three words share their first characters, at most 3. The literal test follows. Empty passages are not sought."""
+    def inner(c: Column) -> Column:
+        return F.split(c, r"[ \n]+")
+
+    n = F.least(F.lit(anchor), F.size(inner(F.col("text"))) - 2)
+    own = passages.where("text != ''").select("item", F.col("text").alias("passage"), F.greatest(n, F.lit(0)).alias("n"), F.array_join(F.slice(inner(F.col("text")), F.lit(2), F.greatest(n, F.lit(0))), " ").alias("gram"))
+    short = own.where("n = 0").withColumn("n", F.least(F.lit(3), F.char_length("passage"))).withColumn("gram", F.expr("substring(passage, 1, n)"))
     found = None
-    for n in sorted(r["n"] for r in own.select("n").distinct().collect()) or [1]:
-        rows = texts.select("unit", F.explode(F.array_distinct(grams(ws, n))).alias("gram")).join(own.where(F.col("n") == n), "gram").select("unit", "item", "passage")
+    for n in sorted(r["n"] for r in own.where("n > 0").select("n").distinct().collect()):
+        rows = texts.select("unit", F.explode(F.array_distinct(grams(inner(F.col("text")), n))).alias("gram")).join(own.where(F.col("n") == n), "gram").select("unit", "item", "passage")
         found = rows if found is None else found.unionByName(rows)
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):
+        cut = F.transform(F.sequence(F.lit(1), F.char_length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))  # noqa: B023
+        rows = texts.where(F.char_length("text") >= n).select("unit", F.explode(F.array_distinct(cut)).alias("gram")).join(short.where(F.col("n") == n), "gram").select("unit", "item", "passage")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return texts.join(passages, F.lit(False)).select("unit", "item")
     pairs = found.select("unit", "item", "passage").distinct()
     return pairs.join(texts.select("unit", "text"), "unit").where(F.contains("text", F.col("passage"))).select("unit", "item").distinct()
 
