@@ -1,5 +1,6 @@
 """Operators on fixtures: what the driver's tables have no cases for."""
 
+import random
 import json
 
 import pytest
@@ -151,6 +152,28 @@ def test_toc(spark):
     assert len(ElementTree.fromstring(x)) == 2
 
 
+def test_codec_loses_nothing():
+    rnd = random.Random(1)
+    bits = "<p> </p> <b> x\n &#10; &#010; &#13; &amp &copy <script> </script> <!-- --> < & \r \x00 \x01 <br/> é <![ ]]> <? \" ' = &#1 3; 0 <title>".split(" ") + [" "]
+    pages = ["<p>a&#10;b</p>", "&copy b", "a < b & c &lt d\r\n", "</P >Text<BR/>", "<a href='x\ny'>q</a", "", None]
+    for html in pages + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(3000)]:
+        skeleton, units = H.compressed_one(html)
+        assert not any(c in u for u in units for c in "\n\r") and H.decompressed_one(skeleton, units) == (html or "")
+
+
+def test_contained_wherever_a_passage_begins(spark):
+    texts = spark.createDataFrame([(1, "xabc def ghi jkl mno pqr stu"), (2, "a\tabc def ghi jkl mno pqr"), (3, "abc def ghi jkl  mno pqr"), (4, "one two"), (5, "zoned"), (6, "")], "unit long, text string")
+    passages = spark.createDataFrame([("a", "abc def ghi jkl mno pqr"), ("b", "ne tw"), ("c", "one"), ("d", "ghi jkl m"), ("e", "o"), ("f", "")], "item string, text string")
+    got = sorted((r["unit"], r["item"]) for r in G.contained(texts, passages).collect())
+    plain = sorted((t["unit"], p["item"]) for t in texts.collect() for p in passages.collect() if p["text"] and p["text"] in t["text"])
+    assert got == plain and (1, "a") in got and (2, "a") in got
+
+
+def test_bibliography_and_labels(spark):
+    refs = ["Smith, A long title. 1999", "Miller, J. (2004). Some title here.", "New York: Knopf, 1987.", "Weber, Max, Economy. 1921b", "Doe (1990). Another title."]
+    assert each(spark, ["\n\n".join(refs), "\n\n".join(refs[:4]), "## References\nx", "1. **Works Cited**", "He came (1999) home.\n\n" * 6, None], L.bibliography) == [True, False, True, True, False, False]
+
+
 def test_html(spark):
     page = '<html><body><p>One <b>two</b> &amp; three</p><div><script>alert("x")</script><p>Four\nfive<p>six<img src="javascript:x" onclick="y"></div></body></html>'
     skeleton, units = H.compressed_one(page)

@@ -208,7 +208,7 @@ def label_survival(spark, sf_dir):
     """First lines as labels that the rest of the document doesn't show again."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("unit"), T.lines(F.col("text")).alias("ls"))
     labels = d.select("unit", F.col("ls")[0].alias("label"))
-    rest = d.select("unit", F.explode(F.slice("ls", 2, 1_000_000)).alias("line"))
+    rest = d.select("unit", F.explode(F.expr("slice(ls, 2, greatest(size(ls), 1))")).alias("line"))
     return A.lost_labels(labels, rest).select(F.col("unit").alias("doc_id"))
 
 
@@ -242,6 +242,13 @@ _JOINS = f"coalesce(trim({{t}}, ' ') != '' AND trim({{h}}, ' ') != '' AND NOT re
 _SEP = r"CASE WHEN regexp_matches({t}, '[-‐‑]\s*$') OR regexp_matches({h}, '^\s*[,.;:!?)\]»”’、。，；：！？]') THEN '' ELSE ' ' END"
 
 ORACLE_SQL = {
+    "duplicate_blocks": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS s FROM documents),
+x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, 1 AS n_t, 0 AS n_s FROM d UNION ALL SELECT doc_id, unnest(string_split(s, chr(10))), 0, 1 FROM d),
+l AS (SELECT *, trim(regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]*\)|<sup>\s*\d+\s*</sup>|\[\^\s*\d+\s*\]:?|<[^>]+>', ' ', 'gi'), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ') AS block FROM x
+  WHERE NOT regexp_matches(trim(line, ' '), '^#{1,6}\s') AND NOT regexp_full_match(replace(trim(line, ' '), ' ', ''), '[-*_]{3,}')),
+b AS (SELECT doc_id, block, sum(n_s) AS n_source, sum(n_t) AS n_target FROM l WHERE length(block) >= 24 OR len(regexp_extract_all(block, '[\p{L}\p{N}\p{M}_]+')) >= 8 GROUP BY ALL)
+SELECT doc_id, sha256(block) AS block, CAST(n_source AS BIGINT) AS n_source, CAST(n_target AS BIGINT) AS n_target FROM b WHERE n_target > 1 AND n_target > n_source""",
     "turn_pairing": """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE role IN ('user', 'assistant'))
 SELECT u.conv_id, u.nth, u.turn AS user_turn, coalesce(a.turn, -1) AS reply_turn, a.turn IS NULL AS missing FROM (SELECT * FROM c WHERE role = 'user') u LEFT JOIN (SELECT * FROM c WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.nth = a.nth""",

@@ -33,7 +33,11 @@ def front_matter_flag(spark, sf_dir):
 
 
 def furniture_kind(spark, sf_dir):
-    return L.furniture_lines(docs(spark, sf_dir)).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+    """Kinds of furniture in documents to which such lines were added, with some that look alike."""
+    n = F.col("doc_id").cast("string")
+    more = F.concat(F.lit("\nPDF Page 12\n<sup>"), n, F.lit("</sup>\nPage "), (F.col("doc_id") % 900).cast("string"), F.lit("\nThe Long Road "), (F.col("doc_id") % 300).cast("string"), F.lit("\nHe went home. 12\n221 Baker Street\nFigure 12\nA -- B 12\n* * * The Long Road * * *"))
+    d = docs(spark, sf_dir).select("doc_id", F.concat("text", more).alias("text"))
+    return L.furniture_lines(d).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def doc_role(spark, sf_dir):
@@ -70,7 +74,7 @@ def redact(spark, sf_dir):
 
 def title_keys(spark, sf_dir):
     first = T.lines(F.col("text"))[0]
-    return docs(spark, sf_dir).select("doc_id", T.heading_key(first).alias("heading_key"), T.match_title_key(first).alias("match_key"), T.title_match_key(first).alias("title_key"), T.library_title(F.substring(first, 1, 60)).alias("sort_title"))
+    return docs(spark, sf_dir).select("doc_id", T.heading_key(first).alias("heading_key"), T.match_title_key(first).alias("match_key"), T.title_match_key(first).alias("title_key"), T.library_title(first).alias("sort_title"))
 
 
 def unit_ids(spark, sf_dir):
@@ -159,6 +163,10 @@ _VOTES = ", ".join(
 )
 
 ORACLE_SQL = {
+    "furniture_kind": """
+WITH x AS (SELECT doc_id, unnest([['synthetic_page_label', 'high', 'y'], ['standalone_page_label', 'high', CASE WHEN doc_id <= 9999 THEN 'y' END], ['standalone_page_label', 'medium', 'y'],
+  ['running_title_plus_page_label', 'high', 'y'], ['running_header', 'high', 'y']]) AS f FROM documents WHERE text IS NOT NULL)
+SELECT f[1] AS kind, f[2] AS confidence, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM x WHERE f[3] IS NOT NULL GROUP BY ALL""",
     "line_explode_stats": f"""
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: trim(x, ' ') != '')) AS BIGINT) AS n_nonblank,
   CAST(coalesce(list_max(list_transform(ls, lambda x: length(x))), 0) AS BIGINT) AS longest, CAST(coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS BIGINT) AS line_chars
@@ -185,7 +193,7 @@ SELECT doc_id, CAST(len(m) AS BIGINT) AS n, array_to_string(m, '|') AS markers F
 WITH f AS (SELECT doc_id, ({LINES})[1] AS t FROM documents), c AS (SELECT doc_id, t, trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS c FROM f)
 SELECT doc_id, lower(trim(regexp_replace(regexp_replace(t, '^#{{1,6}}\s*', ''), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ')) AS heading_key,
   lower(regexp_replace(regexp_replace(t, '^\s*#{{1,6}}\s*', ''), '[^\p{{L}}\p{{N}}\p{{M}}_]', '', 'g')) AS match_key, lower(c) AS title_key,
-  regexp_replace(trim(regexp_replace(substr(t, 1, 60), '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'), ' '), '(?i)^(the|an|a|der|die|das|le|la|les|el|los|las)\s+(.+)$', '\2, \1') AS sort_title FROM c""",
+  regexp_replace(trim(regexp_replace(t, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g'), ' '), '(?i)^(the|an|a|der|die|das|le|la|les|el|los|las)\s+(.+)$', '\2, \1') AS sort_title FROM c""",
     "unit_ids": """
 WITH p AS (SELECT doc_id, 'unit_' || lpad(CAST(doc_id % 97 + 1 AS VARCHAR), 4, '0') || '_' || lpad(CAST(doc_id % 13 + 1 AS VARCHAR), 4, '0') AS unit_id FROM documents)
 SELECT doc_id, unit_id, true AS same, CAST(doc_id % 4 + 1 AS VARCHAR) || '.2' AS parts, unit_id AS base FROM p""",

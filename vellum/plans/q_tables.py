@@ -53,11 +53,9 @@ def html_units(spark, sf_dir):
 
 
 def html_codec_roundtrip(spark, sf_dir):
-    """Pages that are not what they were after compress and decompress: none."""
-    p = pages(spark, sf_dir)
-    c = H.compress(p)
-    again = H.compress(H.decompress(c, H.unit_lines(c)))
-    return c.join(again.select("page_id", F.col("skeleton").alias("s"), F.col("units").alias("u")), "page_id").select("page_id", ((F.col("s") == F.col("skeleton")) & (F.col("u") == F.col("units"))).alias("same"))
+    """Pages after compress and decompress, by their digests."""
+    c = H.compress(pages(spark, sf_dir))
+    return H.decompress(c, H.unit_lines(c)).select("page_id", F.char_length("html").cast("long").alias("chars"), F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
 
 
 def html_cleaned(spark, sf_dir):
@@ -200,9 +198,9 @@ def interval_scope(spark, sf_dir):
 
 
 def token_ranges(spark, sf_dir):
-    """Characters of runs of 20 documents of a source, by prefix sums."""
+    """Characters of the documents of a source from each to 100 ids on, by prefix sums."""
     d = table(spark, sf_dir, "documents")
-    n = d.where("doc_id % 60 < 20").select(F.col("source").alias("book"), F.array(F.col("doc_id").cast("int")).alias("path"), F.col("doc_id").alias("first"), (F.col("doc_id") + 100).alias("last"))
+    n = d.select(F.col("source").alias("book"), F.array(F.col("doc_id").cast("int")).alias("path"), F.col("doc_id").alias("first"), (F.col("doc_id") + 100).alias("last"))
     return toc.tokens_of_nodes(n, d.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.col("n_chars").alias("tokens"))).select("book", F.col("path")[0].cast("long").alias("doc_id"), "tokens")
 
 
@@ -401,6 +399,35 @@ _MARKED = """
 m AS (SELECT source AS book, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file, doc_id AS position, source || '-' || doc_id % 2 AS scope, [CAST(doc_id % 7 AS VARCHAR), CAST(doc_id % 5 AS VARCHAR)] AS refs, CAST(doc_id % 3 AS VARCHAR) AS def FROM documents)"""
 
 ORACLE_SQL = {
+    "layout_pages": f"""
+WITH {_B}, k AS (SELECT *, regexp_extract(text, '^\\s*(?:\\[\\^?)?([0-9]{{1,4}})[\\].)]', 1) AS note FROM b)
+SELECT page, count(*) AS n_blocks, coalesce(string_agg(note, ',' ORDER BY block) FILTER (label = 'Footnote' AND note != ''), '') AS keys, round_even(min(y0), 6) AS top, round_even(max(y1), 6) AS bottom,
+  array_to_string(list_sort(list_distinct(list(CAST(least(floor(y0 * 20), 19) AS BIGINT)))), ',') AS bins FROM k GROUP BY page""",
+    "layout_tails": f"""
+WITH {_B}, r AS (SELECT page, y1 - y0 AS height, y0 - lag(y1) OVER (PARTITION BY page ORDER BY y0, block) AS gap FROM b WHERE y0 >= 0.5), h AS (SELECT page, median(height) AS h FROM r GROUP BY page),
+g AS (SELECT page, median(gap) AS g FROM r JOIN h USING (page) WHERE gap > 0 AND gap <= 4 * h GROUP BY page)
+SELECT page, round_even(greatest(1.5 * h, 2 * coalesce(g, 0), 1e-6), 6) AS tolerance FROM h LEFT JOIN g USING (page)""",
+    "layout_placement": f"""
+WITH {_B}, p AS (SELECT CASE WHEN x1 - x0 >= 0.72 THEN 'full' WHEN x1 <= 0.22 THEN 'left_margin' WHEN x0 >= 0.78 THEN 'right_margin' WHEN (x0 + x1) / 2 < 0.5 THEN 'left_column' ELSE 'right_column' END AS placement,
+  round_even(greatest(0, y1 - greatest(y0, 0.75)) / greatest(y1 - y0, 1e-9), 4) AS share FROM b) SELECT placement, count(*) AS n, round_even(sum(share), 2) AS share FROM p GROUP BY placement""",
+    "layout_illustrations": f"""
+WITH {_B}, p AS (SELECT page, coalesce(max(CASE WHEN label = 'Picture' THEN (x1 - x0) * (y1 - y0) END), 0) AS largest, count(*) FILTER (label = 'Picture') AS n, coalesce(sum(length(trim(text))) FILTER (label != 'Picture'), 0) AS chars FROM b GROUP BY page),
+r AS (SELECT page, array_to_string(list_filter([CASE WHEN largest >= 0.55 THEN 'large' END, CASE WHEN n > 0 AND chars <= 180 THEN 'little text' END, CASE WHEN n > 0 AND chars = 0 THEN 'alone' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p)
+SELECT page, reasons FROM r WHERE reasons != ''""",
+    "glossary_order": f"""
+WITH w AS (SELECT CAST(item_id AS VARCHAR) AS entry, item_id % 3 AS p, {_WORDS} AS ws FROM benchmark),
+f AS (SELECT entry, p AS priority, array_to_string(list_slice(ws, 1, 2), ' ') AS form FROM w UNION ALL SELECT entry, 1, array_to_string(list_slice(ws, 2, 2), ' ') FROM w),
+e AS (SELECT entry, max(priority) AS priority, max(length(form)) AS longest, min(form) AS name FROM f GROUP BY entry)
+SELECT entry, CAST(priority AS INT) AS priority, CAST(longest AS BIGINT) AS longest, CAST(row_number() OVER (ORDER BY priority DESC, longest DESC, name) AS BIGINT) AS place FROM e""",
+    "note_style": f"""
+WITH {_MARKED}, f AS (SELECT book, file, len(refs) AS refs, 1 AS defs FROM m), sh AS (SELECT book, bool_or(defs > 0 AND (refs = 0 OR (defs > 10 AND defs > 3 * refs))) AS notes, bool_or(refs > 0 AND defs = 0) AS body FROM f GROUP BY book),
+k AS (SELECT book, key, bool_or(r) AS r, count(*) FILTER (NOT r) AS d FROM (SELECT book, unnest(refs) AS key, true AS r FROM m UNION ALL SELECT book, def, false FROM m) GROUP BY ALL),
+fit AS (SELECT book, count(*) FILTER (r AND d = 0) AS lost, count(*) FILTER (d > 0) AS known, bool_or(d > 1) AS twice FROM k GROUP BY book)
+SELECT book, CASE WHEN notes AND body AND NOT twice AND lost < 0.1 * known THEN 'GLOBAL' ELSE 'LOCAL' END AS style FROM sh JOIN fit USING (book)""",
+    "note_boundaries": f"""
+WITH {_MARKED}, n AS (SELECT doc_id AS position, len({LINES}) + 2 AS n_lines FROM documents WHERE text IS NOT NULL), o AS (SELECT m.*, n_lines, lead(file) OVER (PARTITION BY book ORDER BY position) AS next_file FROM m JOIN n USING (position)),
+r AS (SELECT book, file, key, next_file FROM (SELECT book, file, def, next_file, unnest(refs) AS key FROM o) GROUP BY book, file, key, next_file, def HAVING count(*) = 1 AND key != def)
+SELECT r.book, r.file, r.next_file, r.key FROM r JOIN o d ON d.book = r.book AND d.file = r.next_file AND d.def = r.key AND d.n_lines <= 20""",
     "html_title": r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ') AS title FROM pages",
     "html_links": r"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages) SELECT page_id, CAST(unnest(range(1, len(hs) + 1)) AS BIGINT) AS nth, unnest(hs) AS href FROM h""",
@@ -412,7 +439,7 @@ SELECT page_id, CAST(len(ts) AS BIGINT) AS n, sha256(array_to_string(ts, '|')) A
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
 u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM t)
 SELECT page_id, sha256(trim(regexp_replace(x, '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ')) AS sha FROM u""",
-    "html_codec_roundtrip": "SELECT page_id, true AS same FROM pages",
+    "html_codec_roundtrip": "SELECT page_id, CAST(length(html) AS BIGINT) AS chars, sha256(html) AS sha FROM pages",
     "mask_restore_roundtrip": r"""
 SELECT page_id, CAST(len(regexp_extract_all(html, '(<!--(?s:.)*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);|\{\{[^{}]*\}\})', 1)) AS BIGINT) AS n, true AS same FROM pages""",
     "event_props_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS again FROM events",
@@ -459,7 +486,7 @@ WITH RECURSIVE {_TREE} SELECT node_id, CASE WHEN position % 3 = 0 THEN 'given' E
     "interval_scope": f"""
 WITH l AS (SELECT doc_id, unnest(range(1, len({LINES}) + 1)) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 9 THEN 's9' WHEN n >= 4 THEN 's4' WHEN n >= 2 THEN 's2' ELSE '-' END AS scope, count(*) AS n FROM l GROUP BY 1, 2""",
     "token_ranges": """
-SELECT a.source AS book, a.doc_id, CAST(sum(b.n_chars) AS BIGINT) AS tokens FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id BETWEEN a.doc_id AND a.doc_id + 100 WHERE a.doc_id % 60 < 20 GROUP BY 1, 2""",
+SELECT a.source AS book, a.doc_id, CAST(sum(b.n_chars) AS BIGINT) AS tokens FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id BETWEEN a.doc_id AND a.doc_id + 100 GROUP BY 1, 2""",
     "benchmark_containment": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "glossary_hits": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), f AS (SELECT CAST(item_id AS VARCHAR) AS entry, array_to_string(list_slice({_WORDS}, 1, 2), ' ') AS form FROM benchmark),
