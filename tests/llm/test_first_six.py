@@ -352,7 +352,7 @@ def test_kept_columns_that_clash(spark):
     assert mixing.materialise(df, mixing.mix(df, source="kept"), keep=("text",)).columns == ["key", "text_", "text"]
 
 
-@pytest.mark.parametrize("name", ["op3_chat_format", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, small, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):

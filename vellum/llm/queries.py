@@ -81,6 +81,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix, op2_line_templates, op3_chat_format, op4_repeated_phrases, op5_ngram_join, op6_sentencepiece, op7_exact_dedup, op8_token_output, op9_quality_rules, op10_language_id)}
 
 ORACLE_SQL = {
+    "op4_repeated_phrases": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM x JOIN f USING (win) WHERE first < doc_id),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w)
+SELECT w.doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(g.at) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY u.at) FILTER (g.at IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN u ON u.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = u.doc_id AND g.at = u.at GROUP BY w.doc_id""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT doc_id, CAST(any_value(coalesce(n, 0)) AS BIGINT) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op3_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
