@@ -266,6 +266,61 @@ def test_epub_round_trip(spark, tmp_path):
     assert [r["path"] for r in spine.orderBy("place").collect()] == ["OEBPS/c1.xhtml", "OEBPS/c2.xhtml"]
 
 
+def test_broken_packages_are_rows(spark, tmp_path):
+    import io
+    import zipfile
+
+    (tmp_path / "a.epub").write_bytes(S.epub_bytes("T", "en", [("One", "<p>x</p>")]))
+    (tmp_path / "b.epub").write_bytes(b"no zip")
+    for name, member, body in (("c", "x.txt", "no container"), ("d", "META-INF/container.xml", "<broken")):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(member, body)
+        (tmp_path / f"{name}.epub").write_bytes(out.getvalue())
+    meta, spine = S.epub(spark, str(tmp_path))
+    assert sorted(r["package"] for r in meta.where("field = 'error'").collect()) == ["b.epub", "c.epub", "d.epub"]
+    assert {r["package"] for r in spine.collect()} == {"a.epub"}
+
+
+def test_reachable_has_no_depth_limit(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "n0"), ("x", "y")], "name string, included string")
+    assert {(r["name"], r["depth"]) for r in S.reachable(edges, "n0").collect()} == {(f"n{i}", i) for i in range(13)}
+
+
+def test_digests_over_streams(spark):
+    import hashlib
+
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("a", 1, None), (None, 5, "z"), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "source string, name long, text string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {"a": (3, sha(",".join([*sorted([sha("y"), sha("")]), sha("x")]))), None: (1, sha(sha("z"))), "b": (1, sha(sha("")))}
+    assert {r["source"]: (r["n"], r["fingerprint"]) for r in receipts.fingerprint(df, "source", "name", "text").collect()} == want
+    sets = {"a": (3, sha("x\ny")), None: (1, sha("z")), "b": (1, sha(""))}
+    assert {r["source"]: (r["n"], r["digest"]) for r in receipts.set_digest(df, "source", "text").collect()} == sets
+
+
+def test_greedy_overlaps_against_plain(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(u, s, s + rng.randint(1, 9), str(i), "f", rng.randint(0, 3)) for u in range(3) for i in range(80) for s in [rng.randint(0, 200)]]
+    got = G.resolved(spark.createDataFrame(rows, "unit long, start long, end long, entry string, form string, priority int")).collect()
+    kept = {(r["unit"], r["start"], r["end"], r["entry"]) for r in got if r["kept"]}
+    want, taken = set(), {}
+    for u, s, e, i, _, _p in sorted(rows, key=lambda r: (r[0], -r[5], r[1] - r[2], r[1], r[2], r[3])):
+        if all(e <= a or s >= b for a, b in taken.setdefault(u, [])):
+            taken[u].append((s, e))
+            want.add((u, s, e, i))
+    assert kept == want
+
+
+def test_navigation_is_numbered_again(spark):
+    rows = [("b", "a", [1], False), ("b", "a1", [1, 1], True), ("b", "a11", [1, 1, 1], False), ("b", "a12", [1, 1, 2], False), ("b", "a2", [1, 2], False), ("b", "c", [2], True), ("b", "c1", [2, 1], False)]
+    nodes = spark.createDataFrame(rows, "book string, node_id string, path array<int>, hidden boolean")
+    got = {r["node_id"]: (r["parent_id"], r["position"], r["depth"]) for r in toc.renumbered(nodes).collect()}
+    assert got == {"a": (None, 1, 1), "a11": ("a", 1, 2), "a12": ("a", 2, 2), "a2": ("a", 3, 2), "c1": (None, 2, 1)}
+
+
 def test_folders(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n")
     (tmp_path / "main.tex").write_text("\\input{one} % \\input{no}\n\\include{two}")

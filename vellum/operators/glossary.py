@@ -6,6 +6,8 @@ texts times forms."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,14 +97,17 @@ def resolved(found: DataFrame) -> DataFrame:
     order = found.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("priority"), F.desc(F.col("end") - F.col("start")), "start", "end", "entry", "form")).cast("long"))
 
     def start():
-        return []
+        return [], []
 
     def step(taken, row):
         if row is None:
             return taken, []
-        free = all(row["end"] <= a or row["start"] >= b for a, b in taken)
+        starts, ends = taken  # of taken occurrences, which never overlap, in order of place
+        at = bisect_right(ends, row["start"])
+        free = at == len(starts) or row["end"] <= starts[at]
         if free:
-            taken.append((row["start"], row["end"]))
+            starts.insert(at, row["start"])
+            ends.insert(at, row["end"])
         return taken, [(row["unit"], row["start"], row["end"], row["entry"], row["form"], free)]
 
     given = order.select("unit", "rank", F.col("start").cast("long"), F.col("end").cast("long"), F.col("entry").cast("string"), "form")
@@ -116,9 +121,15 @@ def unit_context(found: DataFrame) -> DataFrame:
 
 def ordered(entries: DataFrame) -> DataFrame:
     """Entries by falling priority, then length of the longest form, then name, with their place."""
-    w = Window.orderBy(F.desc("priority"), F.desc("longest"), "name")
     rows = entries.groupBy("entry").agg(F.max("priority").alias("priority"), F.max(F.char_length("form")).alias("longest"), F.min(phrase(F.col("form"))).alias("name"))
-    return rows.withColumn("place", F.row_number().over(w))
+    # numbered within groups that are in the same order, after the sizes of all groups before
+    rows = rows.withColumn("start", F.substring("name", 1, 2))
+    group = ["priority", "longest", "start"]
+    order = [F.desc("priority"), F.desc("longest"), F.asc("start")]
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.orderBy(*order)) - F.col("n")).drop("n")
+    out = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("name", "entry"))).alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group])
+    return out.select("entry", *[F.col(f"r.{c}") for c in ("priority", "longest")], "name", (F.col("before") + F.col("nth")).alias("place"))
 
 
 def projected(terms: DataFrame, source: str, target: str) -> DataFrame:

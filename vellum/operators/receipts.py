@@ -5,9 +5,13 @@ receipt table is (stage, name, sha256)."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def content_sha(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
@@ -22,18 +26,35 @@ def duplicate_groups(df: DataFrame, name: str, text: str) -> DataFrame:
     return df.select(name, content_sha(F.col(text)).alias("sha256")).groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first_name"))
 
 
+def _digest(df: DataFrame, by: str, order: list[str], value: str, sep: str, name: str) -> DataFrame:
+    """SHA-256 over a group's values in order, ``sep`` between them, as a stream: (by, n, name). A group of any size is a
+    state of one hash; null values count but add nothing."""
+
+    def start():
+        return [None, 0, False, hashlib.sha256()]
+
+    def step(state, row):
+        if row is None:
+            return state, [(state[0], state[1], state[3].hexdigest())]
+        if row["v"] is not None:
+            state[3].update(((sep if state[2] else "") + row["v"]).encode())
+            state[2] = True
+        state[0], state[1] = row[by], state[1] + 1
+        return state, []
+
+    kind = df.schema[by].dataType.simpleString().replace("bigint", "long")
+    given = df.select(by, *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v"))
+    return fold(given, [by], [f"o{i}" for i in range(len(order))], start, step, f"{by} {kind}, n long, {name} string")
+
+
 def fingerprint(df: DataFrame, by: str, name: str, text: str) -> DataFrame:
-    """Digest over the digests of a group's members in order of name. Members are 64 characters
-    each; a group's digests, not its texts, meet in one row."""
-    rows = df.select(by, name, content_sha(F.col(text)).alias("sha"))
-    members = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(name, "sha"))).alias("m"))
-    return members.select(by, "n", F.sha2(F.array_join(F.transform("m", lambda x: x["sha"]), ","), 256).alias("fingerprint"))
+    """Digest over the digests of a group's members in order of name."""
+    return _digest(df.select(by, name, content_sha(F.col(text)).alias("sha")), by, [name, "sha"], "sha", ",", "fingerprint")
 
 
 def set_digest(df: DataFrame, by: str, value: str) -> DataFrame:
     """Digest of a group's distinct values whatever their order."""
-    values = df.select(by, F.col(value).cast("string").alias("v")).distinct()
-    return values.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("v")), "\n"), 256).alias("digest"))
+    return _digest(df.select(by, F.col(value).cast("string").alias("v")).distinct(), by, ["v"], "v", "\n", "digest")
 
 
 def pending(sources: DataFrame, done: DataFrame) -> DataFrame:

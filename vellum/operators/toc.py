@@ -89,14 +89,25 @@ def range_errors(nodes: DataFrame) -> DataFrame:
 
 
 def navigation(nodes: DataFrame) -> DataFrame:
-    """Nodes without hidden ones; their children take their place: (book, node_id, path, depth). Adds up the hidden
-    ancestors through exploded prefixes, then numbers what is left again."""
+    """Nodes without hidden ones; their children take their place: (book, node_id, path, depth). ``path`` is the old one, which
+    still sorts in preorder; ``depth`` leaves hidden ancestors out, added up through exploded prefixes."""
     hidden = nodes.where("hidden").select("book", F.col("path").alias("up"))
     rows = nodes.where("not hidden").select("book", "node_id", "path")
     lost = rows.select("book", "path", F.explode(prefixes(F.col("path"))).alias("up")).join(hidden, ["book", "up"]).groupBy("book", "path").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(lost, ["book", "path"], "left").select("book", "node_id", "path", (F.size("path") - F.coalesce("n", F.lit(0))).cast("int").alias("depth"))
 
 
+def renumbered(nodes: DataFrame) -> DataFrame:
+    """``navigation`` with the visible parent and the place among its children: (book, node_id, parent_id, position, path, depth).
+    The parent is the longest visible prefix; siblings are numbered in preorder, and their paths follow by ``paths``."""
+    shown = navigation(nodes)
+    up = shown.select("book", "node_id", F.explode(prefixes(F.col("path"))).alias("up"))
+    over = up.join(shown.select("book", F.col("path").alias("up"), F.col("node_id").alias("p")), ["book", "up"])
+    parent = over.groupBy("book", "node_id").agg(F.max_by("p", F.size("up")).alias("parent_id"))
+    placed = shown.join(parent, ["book", "node_id"], "left")
+    return placed.withColumn("position", F.row_number().over(Window.partitionBy("book", "parent_id").orderBy("path")).cast("long")).select("book", "node_id", "parent_id", "position", "path", "depth")
+
+
 def depth(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("book").agg(F.max(F.size("path")).alias("depth"), F.count(F.lit(1)).alias("n_nodes"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 MOST_MEMBERS, MOST_MEMBER, MOST_TOTAL = 100_000, 512 << 20, 2 << 30
 
 SIDECAR = "source string, page int, page_box array<double>, body_font_size double, blocks array<struct<order:int,label:string,bbox:array<double>,text:string,html:string,font_size:double,font_names:array<string>>>"
@@ -69,7 +72,7 @@ def archive(spark: SparkSession, path: str, glob: str = "*.epub") -> DataFrame:
             for package, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = [(package, n, len(b), b, None) for n, b in _members(data)]
-                except (ValueError, zipfile.BadZipFile) as e:
+                except (ValueError, NotImplementedError, RuntimeError, zipfile.BadZipFile, zlib.error) as e:
                     rows = [(package, None, None, None, str(e))]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["package", "name", "size", "content", "error"])
@@ -97,15 +100,20 @@ def package_parts(members: dict[str, bytes]) -> tuple[list[tuple[str, str]], lis
 
 
 def epub(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(package, field, value) and (package, place, path, media_type, html) of the EPUBs of a folder."""
+    """(package, field, value) and (package, place, path, media_type, html) of the EPUBs of a folder. A package that can't be
+    read gives one row with the field ``error``, and no chapters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select(F.element_at(F.split("path", "/"), -1).alias("package"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for package, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                members = dict(_members(data))
-                meta, spine = package_parts(members)
+                try:
+                    members = dict(_members(data))
+                    meta, spine = package_parts(members)
+                except (ValueError, KeyError, StopIteration, NotImplementedError, RuntimeError, zipfile.BadZipFile, zlib.error, ElementTree.ParseError) as e:
+                    rows.append((package, 0, "error", f"{type(e).__name__}: {e}", None))
+                    continue
                 rows += [(package, 0, f, v, None) for f, v in meta] + [(package, n, p, m, members[p].decode("utf-8", "replace")) for n, p, m in spine if p in members]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["package", "place", "name", "value", "html"])
@@ -150,15 +158,14 @@ def includes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", F.explode(F.regexp_extract_all("text", F.lit(r"\\(?:input|include)\{([^}]*)\}"), F.lit(1))).alias("included")).withColumn("included", F.regexp_replace("included", r"\.tex$|^\./", ""))
 
 
-def reachable(edges: DataFrame, root: str, depth: int = 64) -> DataFrame:
-    """Names that a root includes, itself first, with the least depth."""
-    spark = edges.sparkSession
-    level = spark.createDataFrame([(root, 0)], "name string, depth int")
-    out = level
-    for k in range(1, depth + 1):
-        level = edges.join(level.select("name"), "name", "left_semi").select(F.col("included").alias("name")).distinct().join(out.select("name"), "name", "left_anti").withColumn("depth", F.lit(k))
-        if level.isEmpty():
-            break
+def reachable(edges: DataFrame, root: str) -> DataFrame:
+    """Names that a root includes, itself first, with the least depth. Ends when a level brings no new name, so circles do
+    no harm; each level is written, so that the plan grows by one scan a level."""
+    level = edges.sparkSession.createDataFrame([(root, 0)], "name string, depth int")
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = cut(edges.join(level.select("name"), "name", "left_semi").select(F.col("included").alias("name")).distinct().join(out.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)))
         out = out.unionByName(level)
     return out
 
