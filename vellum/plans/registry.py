@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_audits, q_lines, q_tables
+from . import q_audits, q_lines, q_records, q_tables
 
-MODULES: tuple = (q_lines, q_audits, q_tables)
+MODULES: tuple = (q_lines, q_audits, q_tables, q_records)
 
 
 def queries() -> dict:
