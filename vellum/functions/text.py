@@ -46,9 +46,10 @@ def scope_title_key(c: Column) -> Column:
     """Key of a title for finding scopes: outer marks and up to three pairs of quotes go."""
     c = F.trim(replaced(collapsed(c), (r"^[*_`]+|[*_`]+$", "")))
     c = F.regexp_replace(c, f"(?<=[{WORD_CHARS}])[ \\t]+-[ \\t]*(?=[{WORD_CHARS}])", "-")
-    pairs = "|".join(f"^{a}(.*){b}$" for a, b in zip(QUOTES[::2], QUOTES[1::2], strict=True))
-    for _ in range(3):
-        c = F.when(F.char_length(c).between(2, 100000) & c.rlike(pairs), F.trim(c.substr(F.lit(2), F.char_length(c) - 2))).otherwise(c)
+    pairs = "|".join(f"{a}(.*){b}" for a, b in zip(QUOTES[::2], QUOTES[1::2], strict=True))
+    inner = "".join(f"${i + 1}" for i in range(len(QUOTES) // 2))
+    for _ in range(3):  # as one replacement a round, so that the expression doesn't double with each
+        c = F.trim(F.regexp_replace(c, f"^(?:{pairs})$", inner))
     return F.lower(c)
 
 

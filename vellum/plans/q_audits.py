@@ -34,8 +34,10 @@ def turn_pairing(spark, sf_dir):
 
 
 def refusal_scan(spark, sf_dir):
-    p = turn_pairs(spark, sf_dir).select(F.concat("conv_id", F.lit(":"), "nth").alias("unit"), "source", "target")
-    return A.refusals(p)
+    """Pairs of turns; a refusal was added to the answers of every fifth conversation, and to both sides of every fifth after."""
+    p = turn_pairs(spark, sf_dir).select("conv_id", F.concat("conv_id", F.lit(":"), "nth").alias("unit"), "source", "target")
+    said = lambda c, *of: F.when((F.col("conv_id") % 5).isin(*of), F.concat(c, F.lit("\nI’m unable to help with this."))).otherwise(F.col(c))
+    return A.refusals(p.select("unit", said("source", 1).alias("source"), said("target", 0, 1).alias("target"))).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def bilingual_runs(spark, sf_dir):
@@ -241,7 +243,53 @@ _Q = lambda s: s.replace("'", "''")
 _JOINS = f"coalesce(trim({{t}}, ' ') != '' AND trim({{h}}, ' ') != '' AND NOT regexp_matches({{t}}, '{_Q(_ENDS)}') AND NOT regexp_matches({{t}}, '^\\s*(?:#{{{{1,6}}}}\\s|\\|)') AND NOT regexp_matches({{h}}, '{_Q(_START).replace('{', '{{').replace('}', '}}')}'), false)"
 _SEP = r"CASE WHEN regexp_matches({t}, '[-‐‑]\s*$') OR regexp_matches({h}, '^\s*[,.;:!?)\]»”’、。，；：！？]') THEN '' ELSE ' ' END"
 
+_NOT_PROSE = (
+    r"(?m)^\s{0,3}\[\^[^\]\n]+\]:[^\n]*(?:\n[ \t]+[^\n]*)*", r"(?s)```.*?```", r"!?\[[^\]]*\]\([^)]*\)", r"(?i)https?://\S+|www\.\S+", r"`[^`]*`", r"(?s)\$\$?.*?\$\$?", r"<[^>]+>",
+)
+
+
+def _prose(c: str) -> str:
+    """SQL of a text without notes, code, links and mathematics."""
+    out = f"coalesce({c}, '')"
+    for pattern in _NOT_PROSE:
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
+    return out
+
+
 ORACLE_SQL = {
+    "refusal_scan": f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE role IN ('user', 'assistant')),
+p AS (SELECT u.conv_id || ':' || u.nth AS unit, a.text || chr(10) || 'x' AS text FROM (SELECT * FROM c WHERE role = 'user') u JOIN (SELECT * FROM c WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.nth = a.nth WHERE u.conv_id % 5 = 0 AND a.text IS NOT NULL)
+SELECT unit, len(list_filter({LINES}, lambda x: trim(x, ' ') != '')) AS line_no, 'English refusal' AS kind FROM p""",
+    "label_survival": rf"""
+WITH l AS (SELECT doc_id, list_transform({LINES}, lambda x: lower(regexp_replace(regexp_replace(x, '^\s*#{{1,6}}\s*', ''), '[^\p{{L}}\p{{N}}\p{{M}}_]', '', 'g'))) AS ks FROM documents)
+SELECT doc_id FROM l WHERE coalesce(ks[1], '') = '' OR NOT list_contains(ks[2:], ks[1])""",
+    "boundary_preview": rf"""
+WITH {_EDGES}, g AS (SELECT book, page, tail, lead(head) OVER (PARTITION BY book ORDER BY page) AS nh FROM f)
+SELECT book, page, right(tail, 40) AS tail, substr(nh, 1, 40) AS head,
+  CASE WHEN NOT regexp_matches(nh, '^\s*\p{{Ll}}') THEN 'low' WHEN regexp_matches(tail, '\p{{L}}[-‐‑]\s*$') THEN 'high' ELSE 'medium' END AS severity FROM g WHERE {_JOINS.format(t='tail', h='nh')}""",
+    "bilingual_runs": f"""
+WITH d AS (SELECT doc_id, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS text FROM documents),
+l AS (SELECT doc_id, unnest({LINES}) AS line, generate_subscripts({LINES}, 1) AS n FROM d WHERE text IS NOT NULL),
+f AS (SELECT doc_id, n, length(trim(line, ' ')) >= 80 AND len(regexp_extract_all(trim(line, ' '), '[A-Za-z]')) >= 60 AS long FROM l), s AS (SELECT doc_id, min(n) AS s, max(n) AS last FROM f WHERE long GROUP BY doc_id),
+e AS (SELECT doc_id, s, coalesce((SELECT min(f.n) FROM f WHERE f.doc_id = s.doc_id AND f.n > s.s AND NOT long) - 1, last) AS e FROM s)
+SELECT doc_id, CAST(s AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line FROM e WHERE e > s""",
+    "balanced_workers": f"""
+WITH RECURSIVE s AS (SELECT source, tokens, row_number() OVER (PARTITION BY source ORDER BY tokens DESC, doc_id) AS rn FROM ({_STATS})),
+r AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS tokens, 0 AS worker, CAST([0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads FROM s
+  UNION ALL SELECT s.source, s.rn, s.tokens, list_position(loads, list_min(loads)), list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.tokens ELSE 0 END) FROM r JOIN s ON s.source = r.source AND s.rn = r.rn + 1)
+SELECT source, CAST(worker AS BIGINT) AS worker, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n FROM r WHERE rn > 0 GROUP BY source, worker""",
+    "split_units": f"""
+WITH RECURSIVE b AS (SELECT doc_id, list_transform({LINES}, lambda x: CAST(ceil(length(x) / 4.0) AS BIGINT)) AS ts FROM documents),
+r AS (SELECT doc_id, ts, 1 AS k, 1 AS part, ts[1] AS size FROM b WHERE len(ts) > 0
+  UNION ALL SELECT doc_id, ts, k + 1, part + (size > 0 AND size + ts[k + 1] > 300)::INT, CASE WHEN size > 0 AND size + ts[k + 1] > 300 THEN ts[k + 1] ELSE size + ts[k + 1] END FROM r WHERE k < len(ts))
+SELECT doc_id, CAST(part - (part > 1 AND size < 45)::INT AS BIGINT) AS n_parts, CAST(k AS BIGINT) AS n_blocks FROM r WHERE k = len(ts)""",
+    "language_density": r"""
+WITH p AS (SELECT doc_id, text AS s, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[a-z]', '中', 'g') ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, {s} AS s, {t} AS t FROM p), n AS (SELECT doc_id, len(regexp_extract_all(s, '{latin}')) AS ls, len(regexp_extract_all(t, '{latin}')) AS lt, len(regexp_extract_all(t, '{cjk}')) AS ct FROM c),
+q AS (SELECT doc_id, CASE WHEN ls >= 120 AND lt + ct >= 80 THEN ct / (lt + ct) END AS ratio FROM n) SELECT doc_id, round_even(ratio, 4) AS ratio, coalesce(ratio < 0.6::DOUBLE, false) AS blocked FROM q""".format(
+        s=_prose("s"), t=_prose("t"), latin=r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]", cjk=r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
+    ),
     "duplicate_blocks": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lag(text) OVER (PARTITION BY source ORDER BY doc_id), '') AS s FROM documents),
 x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, 1 AS n_t, 0 AS n_s FROM d UNION ALL SELECT doc_id, unnest(string_split(s, chr(10))), 0, 1 FROM d),

@@ -162,7 +162,26 @@ _VOTES = ", ".join(
     f"len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x IN ({', '.join(repr(w) for w in ws)}))) AS {code}" for code, ws in sorted(STOPWORDS.items())
 )
 
+_ONE_SPACE = lambda c: f"trim(regexp_replace({c}, '[\\s\\x{{85}}\\p{{Z}}]+', ' ', 'g'), ' ')"
+
+
+def _steps(c: str, *steps: tuple[str, str]) -> str:
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return _ONE_SPACE(c)
+
+
 ORACLE_SQL = {
+    "marker_codec": """
+WITH n AS (SELECT doc_id, doc_id % 60 + 1 AS n, doc_id % 3 + 1 AS o FROM documents),
+k AS (SELECT doc_id, n, o, CASE WHEN n <= 50 THEN CAST(n AS VARCHAR) WHEN n < 55 THEN 'fnm-star-' || (n - 50) WHEN n = 55 THEN 'fnm-dagger' WHEN n = 56 THEN 'fnm-dagger-2' WHEN n = 57 THEN 'fnm-double-dagger' WHEN n = 58 THEN 'fnm-double-dagger-2' ELSE 'fnm-letter-a' END AS key FROM n)
+SELECT doc_id, CASE WHEN n <= 50 THEN 'numeric' WHEN n < 55 THEN 'star' WHEN n < 57 THEN 'dagger' WHEN n < 59 THEN 'double_dagger' ELSE 'letter' END AS kind, key,
+  CASE WHEN n <= 50 THEN 'fnm-circle-' ELSE '' END || key || CASE WHEN o > 1 THEN '-o' || o ELSE '' END AS output_key, true AS back FROM k""",
+    "comparable_text": "WITH t AS (SELECT doc_id, '# Head *x*' || chr(10) || '> ' || text || chr(10) || '- ![a](b) [c](d)[^1]: e' AS t FROM documents) SELECT doc_id, sha256("
+    + _steps("coalesce(t, '')", (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"\[\^([^\]]+)\]\s*:", r"\1 "), (r"\[\^([^\]]+)\]", r"\1"), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^[ \t]*[-+*][ \t]+", ""), (r"(?m)^[ \t]*>[ \t]?", ""), ("[`*_]", ""))
+    + ") AS sha, CAST(ceil(length("
+    + _steps("coalesce(t, '')", (r"(?s)```.*?(?:```|\z)", " "), (r"(?s)~~~.*?(?:~~~|\z)", " "), ("(?s)<!--.*?-->", " "), (r"`[^`\n]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?i)\bhttps?://\S+|\bwww\.\S+", " "), ("<[^>]+>", " "))
+    + ") / 4.0) AS BIGINT) AS tokens FROM t",
     "furniture_kind": """
 WITH x AS (SELECT doc_id, unnest([['synthetic_page_label', 'high', 'y'], ['standalone_page_label', 'high', CASE WHEN doc_id <= 9999 THEN 'y' END], ['standalone_page_label', 'medium', 'y'],
   ['running_title_plus_page_label', 'high', 'y'], ['running_header', 'high', 'y']]) AS f FROM documents WHERE text IS NOT NULL)

@@ -399,6 +399,9 @@ _MARKED = """
 m AS (SELECT source AS book, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file, doc_id AS position, source || '-' || doc_id % 2 AS scope, [CAST(doc_id % 7 AS VARCHAR), CAST(doc_id % 5 AS VARCHAR)] AS refs, CAST(doc_id % 3 AS VARCHAR) AS def FROM documents)"""
 
 ORACLE_SQL = {
+    "title_key_join": r"""
+WITH s AS (SELECT page_id, lower(trim(regexp_replace(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ')) AS k FROM pages), n AS (SELECT k, count(*) AS n FROM s WHERE page_id % 3 != 0 AND k != '' GROUP BY k)
+SELECT CASE WHEN n.n IS NULL THEN 'unmatched' WHEN n.n > 1 THEN 'ambiguous' ELSE 'matched' END AS status, count(*) AS n FROM s LEFT JOIN n USING (k) GROUP BY 1""",
     "layout_pages": f"""
 WITH {_B}, k AS (SELECT *, regexp_extract(text, '^\\s*(?:\\[\\^?)?([0-9]{{1,4}})[\\].)]', 1) AS note FROM b)
 SELECT page, count(*) AS n_blocks, coalesce(string_agg(note, ',' ORDER BY block) FILTER (label = 'Footnote' AND note != ''), '') AS keys, round_even(min(y0), 6) AS top, round_even(max(y1), 6) AS bottom,
