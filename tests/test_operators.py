@@ -321,6 +321,30 @@ def test_navigation_is_numbered_again(spark):
     assert got == {"a": (None, 1, 1), "a11": ("a", 1, 2), "a12": ("a", 2, 2), "a2": ("a", 3, 2), "c1": (None, 2, 1)}
 
 
+def test_epub_has_navigation(tmp_path):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(S.epub_bytes('A "B" & <C>', "en", [("One & <two>", "<p>x</p>"), ("", "<p>y</p>")]))) as z:
+        nav, ncx, opf = (ElementTree.fromstring(z.read(f"OEBPS/{n}")) for n in ("nav.xhtml", "toc.ncx", "content.opf"))
+    assert [(e.get("href"), e.text) for e in nav.iter() if e.tag.endswith("}a")] == [("c1.xhtml", "One & <two>"), ("c2.xhtml", None)]
+    assert [e.get("src") for e in ncx.iter() if e.tag.endswith("}content")] == ["c1.xhtml", "c2.xhtml"]
+    items = {e.get("id") for e in opf.iter() if e.tag.endswith("}item")}
+    assert items == {"c1", "c2", "nav", "ncx"} and [e.get("idref") for e in opf.iter() if e.tag.endswith("}itemref")] == ["c1", "c2"]
+
+
+def test_html_list_nests(spark):
+    from xml.etree import ElementTree
+
+    rows = [("b", [1], "A & 'b'", "a"), ("b", [1, 1], "<x>", "a1"), ("b", [1, 1, 1], "y", "a11"), ("b", [2], "z", "c")]
+    html = toc.html_list(spark.createDataFrame(rows, "book string, path array<int>, title string, href string")).first()["html"]
+    root = ElementTree.fromstring(html)
+    assert [li.find("a").text for li in root] == ["A & 'b'", "z"]
+    assert [a.get("href") for a in root.iter("a")] == ["a", "a1", "a11", "c"]
+    assert [a.get("href") for a in root.findall("./li/ul/li/ul/li/a")] == ["a11"]
+
+
 def test_folders(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n")
     (tmp_path / "main.tex").write_text("\\input{one} % \\input{no}\n\\include{two}")

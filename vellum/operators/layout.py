@@ -30,6 +30,12 @@ def box_of_points(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def union_boxes(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Least box around all boxes of a group that have an area; groups without one are left out."""
+    whole = blocks.where("x1 > x0 and y1 > y0")
+    return whole.groupBy(*by).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
 def page_ratios(box: Column, width: Column, height: Column) -> Column:
     """A box [x0, y0, x1, y1] in pixels, or in thousandths where the page's size is null; null unless it has area."""
     w, h = F.coalesce(width, F.lit(1000.0)), F.coalesce(height, F.lit(1000.0))

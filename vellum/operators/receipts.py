@@ -10,6 +10,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .folds import fold
 
 
@@ -141,3 +142,36 @@ def lineage(snapshots: DataFrame, head: str, depth: int = 1000) -> DataFrame:
         f"select s.id, s.parent, c.depth + 1 from chain c join {view} s on s.id = c.parent) select id, depth from chain",
         {"head": head},
     )
+
+
+def parts_by_base(names: DataFrame, name: str) -> DataFrame:
+    """Part files grouped by what they are parts of: (base, n, names in order of their part numbers, a whole one first)."""
+    rows = names.select(T.part_base(F.col(name)).alias("base"), T.part_path(F.col(name)).alias("parts"), F.col(name).alias("name"))
+    groups = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("parts", "name"))).alias("m"))
+    return groups.select("base", "n", F.transform("m", lambda x: x["name"]).alias("names"))
+
+
+def reason_counts(pending_rows: DataFrame) -> DataFrame:
+    """How many sources wait, for each reason of ``pending``."""
+    return pending_rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def same_major(recorded: Column, current: Column) -> Column:
+    """Whether two schema versions share their major number; without a recorded one they don't."""
+    major = lambda c: F.regexp_extract(F.trim(c.cast("string")), r"^([0-9]+)(?:\..*)?$", 1).try_cast("int")
+    return F.coalesce(major(recorded) == major(current), F.lit(False))
+
+
+#: Kinds of invalid output that keep their own kind and action.
+KEPT_KINDS = ("prepared_context", "polish_footnote_semantics")
+
+
+def review_state(review: DataFrame, missing: DataFrame, invalid: DataFrame, escalations: DataFrame) -> DataFrame:
+    """What happens to each signal: (file, kind, action). Missing outputs (file) and invalid ones (file, kind, action) are tried again; so
+    are review signals (file, kind), unless their persisted state (file, kind, state) asks for a human."""
+    human = escalations.where("state = 'human_review_required'").select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("kind", F.lit("")).alias("kind")).distinct().withColumn("human", F.lit(True))
+    r = review.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("kind", F.lit("")).alias("kind")).join(human, ["file", "kind"], "left")
+    r = r.select("file", "kind", F.when(F.col("human"), "ask_human").otherwise("retry_subagent").alias("action"))
+    own = F.coalesce(F.col("kind").isin(*KEPT_KINDS) & (F.col("action") != ""), F.lit(False))
+    bad = invalid.select("file", F.when(own, F.col("kind")).otherwise("invalid_output").alias("kind"), F.when(own, F.col("action")).otherwise("retry_subagent").alias("action"))
+    return r.unionByName(missing.select("file", F.lit("missing_output").alias("kind"), F.lit("retry_subagent").alias("action"))).unionByName(bad)

@@ -166,3 +166,35 @@ def ncx(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("book", "path", F.concat(point, F.repeat(F.lit("</navPoint>"), F.greatest(F.lit(0), F.size("path") - nxt + 1).cast("int"))).alias("x"))
     whole = rows.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("path", "x"))).alias("p"), F.max(F.size("path")).alias("depth"))
     return whole.select("book", F.concat(F.lit("<navMap>"), F.array_join(F.transform("p", lambda p: p["x"]), ""), F.lit("</navMap>")).alias("ncx"), "depth")
+
+
+def html_list(nodes: DataFrame) -> DataFrame:
+    """Navigation of a book (path, title, href) as nested HTML lists in preorder: (book, html). A node opens a list if the next one lies
+    deeper, and closes as many as the next one lies higher."""
+    def esc(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    own, nxt = F.size("path"), F.coalesce(F.size(F.lead("path").over(Window.partitionBy("book").orderBy("path"))), F.lit(1))
+    item = F.concat(F.lit('<li><a href="'), esc(F.col("href")), F.lit('">'), esc(F.col("title")), F.lit("</a>"))
+    end = F.when(nxt > own, F.lit("<ul>")).otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.greatest(F.lit(0), own - nxt))))
+    rows = nodes.select("book", "path", F.concat(item, end).alias("x"))
+    whole = rows.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("path", "x"))).alias("p"))
+    return whole.select("book", F.concat(F.lit("<ul>"), F.array_join(F.transform("p", lambda p: p["x"]), ""), F.lit("</ul>")).alias("html"))
+
+
+HEADING_LIKE = r"(?i)^\s*(?:#{1,6}\s+|\*\*?[^*]+\*\*?|__?[^_]+__?|<(?:em|i)\b|(?:chapter|part|book|volume|section)\s+)"
+
+
+def title_at(lines: Column, start: Column, end: Column, title: Column, anchor_line: Column | None = None) -> Column:
+    """Whether the title stands at the anchor (the start if not given) of the lines from ``start`` to before ``end``, 1-based: as the first line with
+    text, or as the first headings of the run of headings there. Later lines prove nothing."""
+    at = start if anchor_line is None else F.coalesce(anchor_line, start)
+    rows = F.filter(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.greatest(end - at, F.lit(0)).cast("int")), lambda x: F.trim(x) != "")
+    others = F.array_position(F.transform(rows, lambda x: ~x.rlike(HEADING_LIKE)), True)
+    run = F.transform(F.when(others > 0, F.slice(rows, F.lit(1), (others - 1).cast("int"))).otherwise(rows), lambda x: F.trim(F.regexp_replace(x, r"^\s*#{1,6}\s*", "")))
+    target = T.toc_label(title)
+    joined = F.exists(F.transform(run, lambda _, i: F.slice(run, F.lit(1), i + 1)), lambda part: T.toc_label(F.array_join(part, " ")) == target)
+    plain = (others == 1) & (T.toc_label(F.get(rows, F.lit(0))) == target)
+    return F.coalesce((start >= 1) & (end > start) & at.between(start, end) & (target != "") & (joined | plain), F.lit(False))

@@ -224,12 +224,60 @@ def combined_markdown(spark, sf_dir):
     return merging.combined(c).select(F.col("book").alias("conv_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
+def union_boxes(spark, sf_dir):
+    return Y.union_boxes(blocks(spark, sf_dir), ["page", "label"]).select("page", "label", *[F.bround(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def part_groups(spark, sf_dir):
+    """Line items as part files of their orders."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    name = F.concat(F.lit("order_"), F.col("l_orderkey").cast("string"), F.lit(".part"), F.col("l_linenumber").cast("string"))
+    return receipts.parts_by_base(li.select(name.alias("name")), "name").select("base", "n", F.array_join("names", " ").alias("names"))
+
+
+def pending_reasons(spark, sf_dir):
+    """Reasons of documents whose receipts, made for labelled ones, are of another content for a third."""
+    now = receipts.receipts(docs(spark, sf_dir), "doc_id", "text", "now").select("name", "sha256")
+    done = now.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), (F.col("quality") == 1).alias("valid")), "name")
+    done = done.withColumn("sha256", F.when(F.col("name") % 3 == 0, F.lit("old")).otherwise(F.col("sha256")))
+    return receipts.reason_counts(receipts.pending(now, done))
+
+
+def schema_versions(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    recorded = F.when(F.col("p_size") % 7 == 0, F.lit("x")).otherwise(F.concat((F.col("p_size") % 3).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit(".1")).otherwise(F.lit(""))))
+    return p.select("p_partkey", receipts.same_major(recorded, F.lit("2.4")).alias("same"))
+
+
+def review_states(spark, sf_dir):
+    """Orders as files: their line items' flags are review signals, shipped ones escalated; orders without 'F' are missing or invalid."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_returnflag").alias("kind"), "l_linestatus").distinct()
+    up = li.select("file", "kind", F.when(F.col("l_linestatus") == "F", "human_review_required").otherwise("retry").alias("state"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), "o_orderstatus", "o_custkey")
+    bad = o.where("o_orderstatus = 'P'").select("file", F.when(F.col("o_custkey") % 2 == 0, "prepared_context").otherwise("syntax").alias("kind"), F.when(F.col("o_custkey") % 3 > 0, "rebuild").otherwise("").alias("action"))
+    out = receipts.review_state(li.select("file", "kind").distinct(), o.where("o_orderstatus = 'O'").select("file"), bad, up)
+    return out.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+def toc_html(spark, sf_dir):
+    return toc.html_list(pathed(spark, sf_dir).withColumn("href", F.concat("node_id", F.lit(".xhtml")))).select("book", F.sha2("html", 256).alias("sha"), F.char_length("html").cast("long").alias("chars"))
+
+
+def titles_at_anchor(spark, sf_dir):
+    """Whether documents show a title of two headings at their start, that comes later, or not at all in others."""
+    k = F.col("doc_id") % 4
+    head = F.when(k == 0, F.lit("# The Long\n\n## Road\n")).when(k == 1, F.lit("The Long Road\n")).when(k == 2, F.lit("some text\n# The Long Road\n")).otherwise(F.lit("# The\n"))
+    ls = T.lines(F.concat(head, F.coalesce("text", F.lit(""))))
+    return docs(spark, sf_dir).select("doc_id", toc.title_at(ls, F.lit(1), F.lit(6), F.lit("The *Long* Road")).alias("there"), toc.title_at(ls, F.lit(1), F.lit(6), F.lit("The Long Road"), F.lit(2)).alias("second"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         toc_labels, numbered_titles, scope_keys, tex_structure, fenced_texts, split_superscripts, untrusted_fences, fence_leaks, blank_page_lines, page_number_lines, structure_audit, note_mark_audit,
         html_line_errors, audited_pairs, reusable_checkpoints, memory_union, scan_progress, retry_schedule, free_slots, scope_conflicts, entity_errors, unit_glossaries, layout_differences, candidate_matches,
         excluded_blocks, text_layers, toc_outline, toc_renumbered, combined_markdown,
+        union_boxes, part_groups, pending_reasons, schema_versions, review_states, toc_html, titles_at_anchor,
     )
 }
 
@@ -305,6 +353,22 @@ WITH RECURSIVE {_TREE}, d AS (SELECT len(path) AS d, sum(ceil(length(title) / 4.
 WITH RECURSIVE {_TREE}, v AS (SELECT * FROM p WHERE NOT (node_id LIKE 'n%' AND position % 2 = 0)),
 a AS (SELECT v.node_id, v.path, coalesce(arg_max(u.node_id, len(u.path)), '-') AS parent_id FROM v LEFT JOIN v u ON len(u.path) < len(v.path) AND list_slice(v.path, 1, len(u.path)) = u.path GROUP BY ALL)
 SELECT node_id, parent_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY path) AS BIGINT) AS position FROM a""",
+    "union_boxes": f"""
+WITH {_B} SELECT page, label, round_even(min(x0), 6) AS x0, round_even(min(y0), 6) AS y0, round_even(max(x1), 6) AS x1, round_even(max(y1), 6) AS y1 FROM b WHERE x1 > x0 AND y1 > y0 GROUP BY page, label""",
+    "part_groups": """
+SELECT 'order_' || l_orderkey AS base, count(*) AS n, string_agg('order_' || l_orderkey || '.part' || l_linenumber, ' ' ORDER BY l_linenumber) AS names FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey""",
+    "pending_reasons": """
+WITH d AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
+SELECT CASE WHEN q IS NULL THEN 'missing' WHEN doc_id % 3 = 0 THEN 'stale' ELSE 'invalid' END AS reason, count(*) AS n FROM documents LEFT JOIN d USING (doc_id) WHERE NOT coalesce(q = 1 AND doc_id % 3 != 0, false) GROUP BY 1""",
+    "schema_versions": "SELECT p_partkey, p_size % 3 = 2 AND p_size % 7 != 0 AS same FROM part",
+    "review_states": """
+WITH l AS (SELECT l_orderkey AS f, l_returnflag AS kind, CASE WHEN bool_or(l_linestatus = 'F') THEN 'ask_human' ELSE 'retry_subagent' END AS action FROM lineitem GROUP BY ALL),
+o AS (SELECT o_orderkey AS f, CASE WHEN o_orderstatus = 'O' THEN 'missing_output' WHEN o_custkey % 2 = 0 AND o_custkey % 3 > 0 THEN 'prepared_context' ELSE 'invalid_output' END AS kind, o_orderstatus AS s FROM orders WHERE o_orderstatus IN ('O', 'P'))
+SELECT kind, action, count(*) AS n, count(DISTINCT f) AS n_files FROM (SELECT * FROM l UNION ALL SELECT f, kind, CASE WHEN kind = 'prepared_context' THEN 'rebuild' ELSE 'retry_subagent' END FROM o) GROUP BY ALL""",
+    "toc_html": f"""
+WITH RECURSIVE {_TREE}, n AS (SELECT path, len(path) AS d, coalesce(len(lead(path) OVER (ORDER BY path)), 1) AS nd, '<li><a href="' || node_id || '.xhtml">' || title || '</a>' AS a FROM p),
+w AS (SELECT '<ul>' || string_agg(a || CASE WHEN nd > d THEN '<ul>' ELSE '</li>' || repeat('</ul></li>', d - nd) END, '' ORDER BY path) || '</ul>' AS h FROM n) SELECT 'world' AS book, sha256(h) AS sha, CAST(length(h) AS BIGINT) AS chars FROM w""",
+    "titles_at_anchor": "SELECT doc_id, doc_id % 4 < 2 AS there, doc_id % 4 = 2 AS second FROM documents",
     "combined_markdown": """
 SELECT conv_id, sha256(string_agg(trim(coalesce(text, ''), ' '), chr(10) || chr(10) ORDER BY turn, ' ' || coalesce(text, '') || '  ')) AS sha FROM conversations GROUP BY conv_id""",
 }

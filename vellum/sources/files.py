@@ -124,8 +124,8 @@ def epub(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def epub_bytes(title: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
-    """An EPUB of (title, XHTML body) chapters."""
-    from xml.sax.saxutils import escape
+    """An EPUB of (title, XHTML body) chapters, with a navigation document and an NCX."""
+    from xml.sax.saxutils import escape, quoteattr
 
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -133,7 +133,13 @@ def epub_bytes(title: str, language: str, chapters: list[tuple[str, str]]) -> by
         z.writestr("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
         items = "".join(f'<item id="c{i}" href="c{i}.xhtml" media-type="application/xhtml+xml"/>' for i in range(1, len(chapters) + 1))
         refs = "".join(f'<itemref idref="c{i}"/>' for i in range(1, len(chapters) + 1))
-        z.writestr("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{escape(title)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>{escape(language)}</dc:language></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
+        more = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+        z.writestr("OEBPS/content.opf", f'<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{escape(title)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>{escape(language)}</dc:language></metadata><manifest>{items}{more}</manifest><spine toc="ncx">{refs}</spine></package>')
+        links = "".join(f'<li><a href="c{i}.xhtml">{escape(name)}</a></li>' for i, (name, _) in enumerate(chapters, 1))
+        z.writestr("OEBPS/nav.xhtml", f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{escape(title)}</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>')
+        points = "".join(f'<navPoint id="n{i}" playOrder="{i}"><navLabel><text>{escape(name)}</text></navLabel><content src="c{i}.xhtml"/></navPoint>' for i, (name, _) in enumerate(chapters, 1))
+        head = f'<head><meta name="dtb:uid" content={quoteattr(title)}/></head>'
+        z.writestr("OEBPS/toc.ncx", f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">{head}<docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>')
         for i, (name, body) in enumerate(chapters, 1):
             z.writestr(f"OEBPS/c{i}.xhtml", f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(name)}</title></head><body>{body}</body></html>')
     return out.getvalue()
