@@ -44,6 +44,13 @@ def test_commentary_and_refusals(spark):
     assert got == {"a": (2, "English refusal"), "c": (1, "English refusal"), "d": (1, "Chinese refusal"), "f": (1, "English policy disclaimer")}
 
 
+def test_titles_of_chapters_beyond_four_digits(spark):
+    assert each(spark, ["Chapter 12345: The Sea", "Part 10000 The Sea", "12345. Notes"], T.title_variants) == [["chapter 12345: the sea", "the sea"], ["part 10000 the sea", "the sea"], ["12345. notes", "notes"]]
+    s = spark.createDataFrame([("b", n, f"Chapter {n}: The Sea {n}") for n in (7, 9999, 10000, 123456)], "book string, scope long, title string")
+    h = spark.createDataFrame([("b", n, f"The Sea {n}") for n in (7, 9999, 10000, 123456)], "book string, heading long, title string")
+    assert sorted((r["scope"], r["heading"], r["status"]) for r in toc.titled(s, h).collect()) == [(n, n, "matched") for n in (7, 9999, 10000, 123456)]
+
+
 def test_unchanged_runs_and_numbers(spark):
     long = "abcdefghij " * 9
     rows = [(f"x\n{long}1\n{long}2\n{long}3\ny", f"z\n{long}1\n{long}2\nq\n{long}3"), ("a", "a"), (f"{long}\n{long}", f"{long}\n{long}"), ("1 2 3 4", "1 3 2"), ("", "")]
