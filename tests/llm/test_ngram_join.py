@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from vellum.llm import graph, ngram_join
-from vellum.llm.common import table
+from vellum.llm.common import discard, table, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -129,3 +129,17 @@ def test_group_of_near_copies_makes_few_pairs(spark):
     order = spark.sparkContext.broadcast(ngram_join.global_order(scanned))
     assert ngram_join.hub_pairs(ngram_join.shared_postings(ngram_join.postings(df, "text", order))).count() < 10 * len(rows)
     assert {x for _, _, x in found(df)} == {0}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    held = spark.range(10_000).repartition(3, "id")
+    before = shuffled()
+    out = written(held, "shuffled")
+    after = shuffled()
+    assert not {x for x in after - before if x.endswith(".data")}
+    assert out.count() == held.count() == 10_000
+    discard(out)
