@@ -1,9 +1,11 @@
 """SentencePiece over a lattice: against the library, and Viterbi against all paths."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,6 +83,35 @@ def test_viterbi_finds_the_best_path(spark):
         assert total == pytest.approx(all_paths(model, w))
 
 
+def test_cached_words_are_bounded_within_a_text(monkeypatch, path):
+    monkeypatch.setattr(piece_lattice, "MOST_CACHED", 1000)
+    model, most = piece_lattice.load(path), [0]
+
+    class Watched(piece_lattice.Model):
+        def cut(self, word):
+            most[0] = max(most[0], len(encoder.own) + len(getattr(encoder, "older", ())))
+            return super().cut(word)
+
+    model.__class__ = Watched
+    encoder = piece_lattice.Encoder(model, {})
+    texts = [" ".join(f"w{i} a{i % 700}" for i in range(5000)), None, "w4999 a1"]
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [np.frombuffer(x, model.dtype).tolist() for x in encoder.encode(texts)] == [lib.encode(t or "") for t in texts]
+    assert 0 < most[0] <= 1000
+
+
+def test_ids_of_a_batch_are_not_an_object_each(spark, monkeypatch, path):
+    monkeypatch.setattr(piece_lattice, "arrow_rows", lambda df, rows, schema: rows)
+    text = "a b c d e f g h i j " * 1000
+    rows = piece_lattice.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), piece_lattice.load(path))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": [text] * 100})
+    tracemalloc.start()
+    ids = sum(len(out.column(1).flatten()) for out in rows(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids >= 10**6 and peak < 20 * ids
+
+
 def test_empty(spark, path):
     model = piece_lattice.load(path)
     assert piece_lattice.encode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0

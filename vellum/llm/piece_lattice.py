@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, out_names, pieces, written
+from .common import arrow_rows, col, out_names, pieces, trim, written
 
 SPACE = "▁"
-MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 400_000
+MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 1 << 17
 UNKNOWN_PENALTY = 10.0
 
 
@@ -149,6 +149,7 @@ def frequent_words(df: DataFrame, model: Model, text: str = "text", most: int =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        trim()
         model, seen = shared.value, Counter()
 
         def block():
@@ -248,10 +249,11 @@ def dictionary(df: DataFrame, model: Model, text: str = "text", most: int = MOST
 
 
 class Encoder:
-    """Ids of texts as bytes, from a dictionary and a bounded cache of other words."""
+    """Ids of texts as bytes, from a dictionary and a cache of at most ``MOST_CACHED`` other words: once
+    half of them are new, the older half goes, within a text too."""
 
     def __init__(self, model: Model, known: dict[str, bytes]) -> None:
-        self.model, self.known, self.own = model, known, {}
+        self.model, self.known, self.own, self.older = model, known, {}, {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for t in texts:
@@ -262,28 +264,36 @@ class Encoder:
                     w = words[i]
                     ids = self.own.get(w)
                     if ids is None:
-                        ids = np.array(self.model.cut(w), self.model.dtype).tobytes()
+                        ids = self.older.get(w)
+                        if ids is None:
+                            ids = np.array(self.model.cut(w), self.model.dtype).tobytes()
                         if len(w) <= 3 * LONGEST_WORD:
+                            if len(self.own) >= MOST_CACHED // 2:
+                                self.own, self.older = {}, self.own
                             self.own[w] = ids
                     out[i] = ids
-            if len(self.own) > MOST_CACHED:
-                self.own.clear()
             yield b"".join(out)
 
 
-def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], row, fields, schema: str, most: int) -> DataFrame:
+def id_lists(encoded: list[bytes], dtype: str) -> pa.ListArray:
+    """A list of ids for each text, without a Python object for each id."""
+    ends = np.cumsum([0, *map(len, encoded)]) // np.dtype(dtype).itemsize
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), dtype).astype(np.int32)))
+
+
+def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], columns, names: tuple[str, ...], schema: str, most: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((model, dictionary(df, model, text, most)))
-    n, named = len(keep), out_names(keep, tuple(k for k, _ in fields))
+    n, named = len(keep), out_names(keep, names)
     given = df.select(*[col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], col(text).alias("_text"))
     cache: list[Encoder] = []
 
     def rows(batch: pa.RecordBatch):
         if not cache:
+            trim()
             cache.append(Encoder(*shared.value))
         for part in pieces(batch, n):
             texts = part.column(n).to_pylist()
-            out = [row(cache[0].model, t, np.frombuffer(ids, cache[0].model.dtype)) for t, ids in zip(texts, cache[0].encode(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:n], *[pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]], names=[*named, *[k for k, _ in fields]])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns(cache[0].model, texts, cache[0].encode(texts))], names=[*named, *names])
 
     given_schema = ", ".join(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(named, given.schema.fields, strict=False))
     return arrow_rows(given, rows, f"{given_schema}, {schema}")
@@ -291,7 +301,7 @@ def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], row,
 
 def encode(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = MOST_WORDS) -> DataFrame:
     """The ``keep`` columns of every row, with ids."""
-    return _mapped(df, model, text, keep, lambda m, t, ids: (ids.tolist(),), [("ids", pa.list_(pa.int32()))], "ids array<int>", most)
+    return _mapped(df, model, text, keep, lambda m, _, encoded: [id_lists(list(encoded), m.dtype)], ("ids",), "ids array<int>", most)
 
 
 def digests(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = MOST_WORDS) -> DataFrame:
@@ -300,7 +310,11 @@ def digests(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     def row(m: Model, t: str | None, ids: np.ndarray):
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), m.decode(ids.tolist()) == (t or "").replace(SPACE, " ")
 
-    return _mapped(df, model, text, keep, row, [("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())], "n_tokens long, ids_crc32 long, round_trip boolean", most)
+    def columns(m: Model, texts: list[str | None], encoded: Iterator[bytes]) -> list[pa.Array]:
+        out = [row(m, t, np.frombuffer(ids, m.dtype)) for t, ids in zip(texts, encoded, strict=True)]
+        return [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+
+    return _mapped(df, model, text, keep, columns, ("n_tokens", "ids_crc32", "round_trip"), "n_tokens long, ids_crc32 long, round_trip boolean", most)
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
