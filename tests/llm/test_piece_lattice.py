@@ -100,6 +100,34 @@ def test_cached_words_are_bounded_within_a_text(monkeypatch, path):
     assert 0 < most[0] <= 1000
 
 
+def test_words_outside_the_dictionary_merge_together(monkeypatch, path):
+    model, calls = piece_lattice.load(path), [0]
+
+    class Watched(piece_lattice.Model):
+        def cut(self, word):
+            calls[0] += 1
+            return super().cut(word)
+
+    model.__class__ = Watched
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("aeionrst\u00e9\u00f1") for _ in range(rnd.randint(1, 30))) for _ in range(1000)) for _ in range(5)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [np.frombuffer(x, model.dtype).tolist() for x in piece_lattice.Encoder(model, {}).encode(texts)] == [lib.encode(t) for t in texts]
+    assert calls[0] < 500
+
+
+def test_merging_together_gives_what_merging_alone_gives(path):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("▁▁aeiourstné.#日ﬁ🙂İ́\x00") for _ in range(rnd.randint(1, 60))) for _ in range(4000)]
+    words += [c * k for c in "a▁日🙂" for k in range(1, 50)]
+    tied = unigram()
+    tied = piece_lattice.Model({p: 0.0 if len(p) == 2 else x for p, x in tied.scores.items()}, tied.ids, tied.surface, None, 0, True)
+    short = ["".join(rnd.choice("▁abcz") for _ in range(rnd.randint(1, 12))) for _ in range(1000)]
+    for model, given in ((piece_lattice.load(path), words), (tied, short)):
+        assert model.cut_all(given) == [np.array(model.cut(w), model.dtype).tobytes() for w in given]
+        assert sum(x is not None for x in model.merger.cut(given)) > 100
+
+
 def test_ids_of_a_batch_are_not_an_object_each(spark, monkeypatch, path):
     monkeypatch.setattr(piece_lattice, "arrow_rows", lambda df, rows, schema: rows)
     text = "a b c d e f g h i j " * 1000

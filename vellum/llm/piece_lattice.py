@@ -8,7 +8,7 @@ are exploded and equi-joined to the piece table, edges are grouped by word, and
 of a lattice isn't what the library gives, so the fold merges over the same edges: the
 neighbours whose union has the best score, leftmost first, until none is an edge; those are
 the library's ids. The dictionary of frequent words is broadcast; a word outside it is cut
-by the same merge (or Viterbi) in the worker that meets it. Characters without a piece become byte pieces,
+by the same merge (or Viterbi) in the worker that meets it, thousands of words at a time in arrays (``Merger``). Characters without a piece become byte pieces,
 or the unknown piece.
 
 Decoding joins the pieces, bytes included, and drops the dummy prefix.
@@ -36,6 +36,9 @@ from .common import arrow_rows, col, out_names, pieces, trim, written
 
 SPACE = "▁"
 MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 1 << 17
+#: Words outside the dictionary that a worker gathers before it cuts them, words whose ids it holds meanwhile (a text
+#: of more is alone), and the least number of words that arrays are worth.
+STEP, MOST_HELD, LEAST = 1 << 14, 1 << 18, 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -50,6 +53,7 @@ class Model:
     unknown: int
     bpe: bool
     ranks: dict[str, int] = field(default_factory=dict)
+    merger: "Merger | None" = field(default=None, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         order = {s: i for i, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
@@ -75,6 +79,15 @@ class Model:
             out += [self.ids[s]] if s in self.ids else self.fallback(s)
         return out
 
+    def cut_all(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as bytes."""
+        if len(words) < LEAST or not self.bpe:
+            return [np.array(self.cut(w), self.dtype).tobytes() for w in words]
+        if self.merger is None:
+            self.merger = Merger(self)
+        out = self.merger.cut(words)
+        return [np.array(self.cut(w), self.dtype).tobytes() if x is None else x for w, x in zip(words, out, strict=True)]
+
     def _merged(self, word: str) -> list[str]:
         n, ranks = len(word), self.ranks
         nxt, prev, part = list(range(1, n + 1)), list(range(-1, n - 1)), list(word)
@@ -114,6 +127,117 @@ class Model:
         return text[1:] if text.startswith(" ") else text
 
 
+class Merger:
+    """The merge of a BPE model for many words at once. Symbols are numbers, and a hash table has the union of
+    each pair that has one. Words stand in columns, with links over merged places; a step merges in every word the
+    pair whose union has the least rank, leftmost first, until none is left."""
+
+    SIZES, BITS, NONE = (8, 12, 16, 24, LONGEST_WORD), 6, np.int32(2**31 - 1)
+
+    def __init__(self, model: Model) -> None:
+        number = {p: i for i, p in enumerate(model.ranks)}
+        self.pad = len(number)
+        self.usable = self.pad < 1 << 31 - self.BITS - 1
+        self.ids = np.array([model.ids[p] for p in number], model.dtype)
+        self.ranks = np.array([*model.ranks.values(), 0], np.int32)
+        chars = {ord(p): i for p, i in number.items() if len(p) == 1}
+        self.chars = np.full(max(chars, default=0) + 2, self.pad, np.int32)
+        self.chars[list(chars)] = list(chars.values())
+        pairs = {}
+        for p, i in number.items():
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a * (self.pad + 1) + b] = i
+        self.shift = 64 - max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << 64 - self.shift, -1, np.int64)
+        self.unions = np.full(len(self.keys), self.pad, np.int32)
+        keys, unions = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            left = self.keys[at] != keys
+            self.unions[at[~left]] = unions[~left]
+            keys, unions, at = keys[left], unions[left], (at[left] + 1) % len(self.keys)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _union(self, a: np.ndarray, b: np.ndarray, at: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair its union, or ``pad``; and the union's rank with the pair's place in the last bits, or ``NONE``."""
+        keys = a.astype(np.int64) * (self.pad + 1) + b
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.unions[slots], np.int32(self.pad))
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            slots[rest] = (slots[rest] + 1) % len(self.keys)
+            found = self.keys[slots[rest]]
+            hit = rest[found == keys[rest]]
+            out[hit] = self.unions[slots[hit]]
+            rest = rest[(found != keys[rest]) & (found >= 0)]
+        return out, np.where(out == self.pad, self.NONE, self.ranks[out] << self.BITS | at)
+
+    def cut(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word as bytes; None for words over ``LONGEST_WORD`` and those with a character that is no piece."""
+        out: list[bytes | None] = [None] * len(words)
+        if not self.usable:
+            return out
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        symbols = self.chars[np.minimum(codes, len(self.chars) - 1)]
+        odd = np.zeros(len(words), bool)
+        odd[np.searchsorted(starts, np.flatnonzero(symbols == self.pad), "right") - 1] = True
+        least = 0
+        for most in self.SIZES:
+            who = np.flatnonzero((sizes > least) & (sizes <= most) & ~odd)
+            least = most
+            if len(who):
+                ids, ends = self._merge(symbols, starts[who], sizes[who], most)
+                lo = 0
+                for w, hi in zip(who.tolist(), ends.tolist(), strict=True):
+                    out[w] = ids[lo:hi]
+                    lo = hi
+        return out
+
+    def _merge(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[bytes, np.ndarray]:
+        """Ids of words of at most ``most`` symbols, end to end, and where each word's end, in bytes."""
+        n = len(starts)
+        held = np.full((most + 2, n), self.pad, np.int32)  # a place more on either side
+        for k in range(most):
+            inside = slice(None) if k == 0 else np.flatnonzero(sizes > k)
+            held[k + 1, inside] = symbols[starts[inside] + k]
+        best, made = np.full((most + 2, n), self.NONE, np.int32), np.full((most + 2, n), self.pad, np.int32)
+        for k in range(1, most):
+            made[k], best[k] = self._union(held[k], held[k + 1], k)
+        after = np.repeat(np.arange(1, most + 3, dtype=np.int32)[:, None], n, 1)
+        before = after - 2
+        flat, ways, unions, nxt, prev = held.ravel(), best.ravel(), made.ravel(), after.ravel(), before.ravel()
+        while True:
+            least = best.min(axis=0)
+            cols = np.flatnonzero(least != self.NONE)
+            if not len(cols):
+                break
+            place = least[cols] & (1 << self.BITS) - 1
+            i = place * np.int64(n) + cols
+            union = unions[i]
+            j = nxt[i] * np.int64(n) + cols
+            right, left = nxt[j], prev[i]
+            r, h = right * np.int64(n) + cols, left * np.int64(n) + cols
+            flat[i] = union
+            flat[j] = -1
+            ways[j] = self.NONE
+            nxt[i] = right
+            prev[r] = place
+            unions[i], ways[i] = self._union(union, flat[r], place)
+            unions[h], ways[h] = self._union(flat[h], union, left)
+        held = np.ascontiguousarray(held[1:-1].T)
+        stays = (held >= 0) & (held != self.pad)
+        return self.ids[held[stays]].tobytes(), np.cumsum(stays.sum(axis=1)) * self.ids.itemsize
+
+
 def load(model_path: str) -> Model:
     """A model file. Only the identity normaliser with a dummy prefix is taken; others are refused."""
     import sentencepiece
@@ -158,7 +282,8 @@ def frequent_words(df: DataFrame, model: Model, text: str = "text", most: int =
         for batch in batches:
             for part in pieces(batch, 0):
                 for t in part.column(0).to_pylist():
-                    seen.update(w for w in model.split(t or "") if len(w) <= LONGEST_WORD)
+                    words = model.split(t or "")
+                    seen.update(words if max(map(len, words), default=0) <= LONGEST_WORD else [w for w in words if len(w) <= LONGEST_WORD])
                 if len(seen) > BLOCK // 4:
                     yield block()
                     seen = Counter()
@@ -256,23 +381,51 @@ class Encoder:
         self.model, self.known, self.own, self.older = model, known, {}, {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        out, ends, lost, places = [], [], [], []
         for t in texts:
-            words = self.model.split(t or "")
-            out = list(map(self.known.get, words))
-            for i, ids in enumerate(out):
+            words, start = self.model.split(t or ""), len(out)
+            out += map(self.known.get, words)
+            gaps = [i for i in range(start, len(out)) if out[i] is None]
+            places += gaps
+            lost += [words[i - start] for i in gaps]
+            ends.append(len(out))
+            if len(lost) >= STEP or len(out) >= MOST_HELD:
+                yield from self._filled(out, ends, lost, places)
+                out, ends, lost, places = [], [], [], []
+        yield from self._filled(out, ends, lost, places)
+
+    def _filled(self, out: list[bytes | None], ends: list[int], lost: list[str], places: list[int]) -> Iterator[bytes]:
+        """Ids of each text, from those of its words end to end, once the words outside the dictionary have theirs."""
+        for at in range(0, len(lost), STEP):
+            for place, ids in zip(places[at : at + STEP], self._ids(lost[at : at + STEP]), strict=True):
+                out[place] = ids
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            yield b"".join(out[lo:hi])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        here: dict[str, bytes | None] = dict.fromkeys(words)
+        new = []
+        for w in here:
+            ids = self.own.get(w)
+            if ids is None:
+                ids = self.older.get(w)
                 if ids is None:
-                    w = words[i]
-                    ids = self.own.get(w)
-                    if ids is None:
-                        ids = self.older.get(w)
-                        if ids is None:
-                            ids = np.array(self.model.cut(w), self.model.dtype).tobytes()
-                        if len(w) <= 3 * LONGEST_WORD:
-                            if len(self.own) >= MOST_CACHED // 2:
-                                self.own, self.older = {}, self.own
-                            self.own[w] = ids
-                    out[i] = ids
-            yield b"".join(out)
+                    new.append(w)
+                    continue
+                self._keep(w, ids)
+            here[w] = ids
+        for at in range(0, len(new), MOST_CACHED // 4):
+            part = new[at : at + MOST_CACHED // 4]
+            for w, ids in zip(part, self.model.cut_all(part), strict=True):
+                here[w] = ids
+                if len(w) <= 3 * LONGEST_WORD:
+                    self._keep(w, ids)
+        return list(map(here.__getitem__, words))
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self.own) >= MOST_CACHED // 2:
+            self.own, self.older = {}, self.own
+        self.own[word] = ids
 
 
 def id_lists(encoded: list[bytes], dtype: str) -> pa.ListArray:
