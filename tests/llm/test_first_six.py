@@ -215,6 +215,22 @@ def test_records_round_trip(spark, small):
         list(token_output.records(io.BytesIO(bytes(data))))
 
 
+def test_latin_words_are_encoded_by_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.public_tokenizer(queries.TOKENIZER)
+    lib, enc = Tokenizer.from_file(path), token_output.Encoder(path, True)
+    rnd, apart = random.Random(4), []
+    words = ["".join(rnd.choice("aeEInsÑñéÉÄßÿÐ'.#7²½ªºİıſƒǅɏ¿»µ×") for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    words += [chr(c) for c in range(0xA1, 0x250)] + ["é" + chr(c) + "'s" for c in range(0xA1, 0x250)]
+    odd = ["e\u0301", "ΑΣ", "日本", "é<|endoftext|>ñ", "<|EndOfText|>", "a\xa0b", "x\x1cy", "é\u200d"]
+    monkeypatch.setattr(enc, "_encode_words", lambda given, f=enc._encode_words: (apart.extend(given), f(given))[1])
+    texts = [" ".join(words), " ".join(odd), "é"]
+    got = enc.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(odd) <= set(apart) and len(set(apart)) < len(set(words)) / 2 and "éŒ's" not in apart and "é" not in apart
+
+
 def test_no_documents_no_files(spark):
     where, manifest = token_output.write_records(empty(spark), queries.public_tokenizer(queries.TOKENIZER), 2)
     assert token_output.read_digests(where, manifest).count() == 0

@@ -14,8 +14,8 @@ names in the committed manifest count: a lost executor leaves at most an unused
 Words repeat, so each worker encodes a word once and joins the ids; that gives the
 library's ids for the whole text if the tokenizer splits at white space, which
 ``splits_at_space`` says for the file used. Other tokenizers encode whole texts. Words of printable
-ASCII are cut by the file's own pattern, and their parts given to the library's model, if the
-file's other steps leave such text alone but for its case (``ascii_steps``).
+characters below U+0250 are cut by the file's own pattern, and their parts given to the library's model, if the
+file's other steps leave such text alone but for its case (``plain_steps``, ``plain_chars``).
 
 Cases: null or empty texts have only the end id; equal keys are records side by side; an
 empty table gives no files; other columns of the input are not read.
@@ -23,6 +23,7 @@ empty table gives no files; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -91,9 +92,9 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def ascii_steps(spec: dict) -> tuple[bool, str] | None:
-    """(whether A-Z become a-z, pattern of the parts) if that is all the file does to printable ASCII before its BPE
-    model sees it, else None."""
+def plain_steps(spec: dict) -> tuple[bool, str] | None:
+    """(whether case goes, pattern of the parts) if that is all the file does to ``plain_chars`` before its BPE
+    model sees their bytes, else None."""
     norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     steps = norm.get("normalizers", [norm] if norm else [])
     parts = pre.get("pretokenizers", [])
@@ -107,6 +108,17 @@ def ascii_steps(spec: dict) -> tuple[bool, str] | None:
     return any(x["type"] == "Lowercase" for x in steps), parts[0]["pattern"]["Regex"]
 
 
+def plain_chars(normalizer, lower: bool) -> str:
+    """Printable characters below U+0250 that the file's normalizer leaves alone but for their case. None of them
+    combines with another there, so words of them are left alone as well."""
+    given = map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250)))
+    return "".join(c for c in given if (normalizer.normalize_str(c) if normalizer else c) == (c.lower() if lower else c))
+
+
+#: Byte-level BPE's character for each byte, by the byte's own Latin-1 character.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class Encoder:
     """Ids of texts as bytes. ``by_word``: words are encoded once and kept, up to a bound."""
 
@@ -124,10 +136,11 @@ class Encoder:
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.plain = None
-        if steps := ascii_steps(spec):
+        if steps := plain_steps(spec):
             self.lower, self.cut = steps[0], regex.compile(steps[1] + "|\n")
             added = "|".join(regex.escape(t["content"]) for t in spec.get("added_tokens", []))
-            self.plain = regex.compile((f"(?!.*(?i:{added}))" if added else "").encode() + rb"[\x21-\x7e]+")
+            self.added = regex.compile(f"(?i:{added})") if added else None
+            self.plain = re.compile(f"(?m)^[{re.escape(plain_chars(self.lib.normalizer, self.lower))}]+$")
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 4096):
@@ -146,8 +159,16 @@ class Encoder:
             for lo, hi in zip([0, *ends], ends, strict=False):
                 yield ids[size * lo : size * hi]
 
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """The words that ``_encode_plain`` takes."""
+        joined = b"\n".join(words).decode()
+        found = self.plain.findall(joined)
+        if self.added and self.added.search(joined):
+            found = [w for w in found if not self.added.search(w)]
+        return "\n".join(found).encode().split(b"\n") if found else []
+
     def _encode_plain(self, words: list[bytes]) -> Iterator[bytes]:
-        """Ids of words of printable ASCII, by their parts."""
+        """Ids of words of plain characters, by their parts."""
         joined = b"\n".join(words + [b""]).decode()
         if len(self.parts) > MOST_CACHED:
             self.parts = {}
@@ -159,7 +180,8 @@ class Encoder:
                 continue
             ids = parts.get(p)
             if ids is None:
-                ids = np.array([t.id for t in tokenize(p)], self.dtype).tobytes()
+                given = p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = np.array([t.id for t in tokenize(given)], self.dtype).tobytes()
                 if len(p) <= LONGEST_CACHED:
                     parts[p] = ids
             word.append(ids)
@@ -172,7 +194,7 @@ class Encoder:
         again = missing.intersection(self.older)
         self.known.update((w, self.older[w]) for w in again)
         new = list(missing - again)
-        plain = [w for w in new if self.plain.fullmatch(w)] if self.plain else []
+        plain = self._plain(new) if self.plain else []
         rest = list(set(new).difference(plain)) if plain else new
         self.known.update(zip(plain, self._encode_plain(plain), strict=True))
         self.known.update(zip(rest, self._encode_words([w.decode() for w in rest]), strict=True))
