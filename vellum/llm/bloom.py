@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mapped, mixed
 
 LEAST_BITS, MOST_BITS, BITS_EACH = 18, 28, 12
 BLOCK = 15
@@ -43,7 +43,7 @@ def build(values: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["block", "bits"])
 
     dealt = values.where(F.col(name).isNotNull()).select(F.expr(f"cast(shiftrightunsigned({name}, 40) & {blocks - 1} as int)").alias("block"), name).repartition("block")
-    made = dealt.mapInArrow(run, "block int, bits binary").toArrow()
+    made = mapped(dealt, run, "block int, bits binary").toArrow()
     out = np.zeros((blocks, 1 << (BLOCK - 3)), np.uint8)
     for block, x in zip(made.column(0).to_pylist(), made.column(1), strict=True):
         out[block] = np.frombuffer(x.as_py(), np.uint8)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, out_names, pieces, written
+from .common import arrow_rows, col, mapped, out_names, pieces, written
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     langs = sorted(many)
     table = np.zeros((len(langs), BUCKETS), np.float64)
-    got = chosen.select("t", "l").mapInArrow(count, "l string, idx int, n long").groupBy("l", "idx").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(chosen.select("t", "l"), count, "l string, idx int, n long").groupBy("l", "idx").agg(F.sum("n").alias("n")).toArrow()
     if got.num_rows:
         at = {x: i for i, x in enumerate(langs)}
         table[[at[x] for x in got["l"].to_pylist()], got["idx"].to_numpy()] = got["n"].to_numpy()

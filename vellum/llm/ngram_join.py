@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import arrow_rows, col, discard, flat_words, mixed, pieces, release, written
+from .common import arrow_rows, col, discard, flat_words, mapped, mixed, pieces, release, written
 from .graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -171,7 +171,7 @@ def first_scan(df: DataFrame, text: str, key: str) -> DataFrame:
         if block:
             yield recurring(batch.schema.field(0).type)
 
-    return written(given.mapInArrow(run, f"key {kind}, n int, hash long, count int"), "ngram-sets")
+    return written(mapped(given, run, f"key {kind}, n int, hash long, count int"), "ngram-sets")
 
 
 def global_order(scanned: DataFrame, most: int = MOST_HEAVY) -> Order:
@@ -228,11 +228,11 @@ def postings(df: DataFrame, text: str, shared) -> DataFrame:
                 token, owner, pos = map(np.concatenate, (token, owner, pos))
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(classes[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "class", "n", "pos"])
 
-    return df.select(col(text).alias("t")).mapInArrow(run, POSTING)
+    return mapped(df.select(col(text).alias("t")), run, POSTING)
 
 
 def _streamed(rows: DataFrame, run, schema: str, *order: str) -> DataFrame:
-    return rows.repartition("token").sortWithinPartitions("token", *order).mapInArrow(run, schema)
+    return mapped(rows.repartition("token").sortWithinPartitions("token", *order), run, schema)
 
 
 def shared_postings(rows: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def segments(df: DataFrame, text: str, classes: DataFrame, shared) -> DataFrame:
                 if c:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.binary())], names=["c", "fragment", "segment"])
 
-    made = written(df.select(col(text).alias("t")).mapInArrow(run, "c long, fragment int, segment binary"), "ngram-segments", "none")
+    made = written(mapped(df.select(col(text).alias("t")), run, "c long, fragment int, segment binary"), "ngram-segments", "none")
     filters.destroy()
     return made
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, col, out_names, pieces, trim, written
+from .common import arrow_rows, col, mapped, out_names, pieces, written
 
 SPACE = "▁"
 MOST_WORDS, LONGEST_WORD, BLOCK, MOST_CACHED = 1 << 17, 40, 1 << 20, 1 << 17
@@ -273,7 +273,6 @@ def frequent_words(df: DataFrame, model: Model, text: str = "text", most: int =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        trim()
         model, seen = shared.value, Counter()
 
         def block():
@@ -290,7 +289,7 @@ def frequent_words(df: DataFrame, model: Model, text: str = "text", most: int =
         if seen:
             yield block()
 
-    counted = df.select(col(text).alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = mapped(df.select(col(text).alias("t")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = written(counted.where("n > 1").withColumn("level", F.floor(4 * F.log2("n"))), "word-counts")
     total, least = 0, None
     for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # quarters of powers of 2: at most 256 rows
@@ -442,7 +441,6 @@ def _mapped(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], colum
 
     def rows(batch: pa.RecordBatch):
         if not cache:
-            trim()
             cache.append(Encoder(*shared.value))
         for part in pieces(batch, n):
             texts = part.column(n).to_pylist()
