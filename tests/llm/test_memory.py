@@ -1,10 +1,14 @@
-"""What workers hold: small batches, free memory given back."""
+"""What workers hold: small batches, free memory given back, lines in small parts."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import bloom, common, language_id, ngram_join, piece_lattice
+from vellum.llm import line_templates as lt
 
 
 class Kept:
@@ -56,3 +60,17 @@ def test_tasks_give_free_memory_back(spark, monkeypatch):
 @pytest.mark.parametrize("module", [bloom, language_id, ngram_join, piece_lattice])
 def test_modules_of_the_pipeline_map_so(module):
     assert module.mapped is common.mapped
+
+
+def test_lines_are_held_a_part_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lt, "arrow_rows", lambda df, rows, schema: rows)
+    texts = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    rows = lt.lines_in(lt._texts(texts, "text", "doc_id"), np.zeros(1 << 15, np.uint8))
+    text = "\n".join(["some short words are on this line"] * 1000)
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(120)), "mark": list(range(120)), "t": [text] * 120})
+    tracemalloc.start()
+    assert list(rows(batch)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 3 << 20 < batch.nbytes < 5 << 20
+    assert peak < 8 * batch.nbytes

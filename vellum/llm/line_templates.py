@@ -84,7 +84,7 @@ def lines_in(texts: DataFrame, packed: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(packed)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batch, 2):
+        for part in pieces(batch, 2, 1 << 20):  # a list of words for each line
             out = []
             for doc, mark, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw_texts(part.column(2)), strict=True):
                 for at, line in enumerate((raw or b"").split(b"\n")):
